@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id
+from . import language_id, quality_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": language_id.query,
+    "op10_quality_rank": quality_rank.query,
 }
 
 SQL: dict[str, str] = {}
