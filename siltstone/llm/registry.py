@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, packing, quality_rank
+from . import language_id, mixing, ngram_join, packing, quality_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.query,
     "op2_packing": packing.query,
     "op5_language_id": language_id.query,
+    "op7_ngram_join": ngram_join.query,
     "op10_quality_rank": quality_rank.query,
 }
 
