@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, ngram_join, packing, quality_rank
+from . import language_id, mixing, ngram_join, packing, quality_rank, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.query,
     "op2_packing": packing.query,
     "op5_language_id": language_id.query,
     "op7_ngram_join": ngram_join.query,
+    "op9_suffix_dedup": suffix_dedup.query,
     "op10_quality_rank": quality_rank.query,
 }
 
