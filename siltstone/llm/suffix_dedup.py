@@ -259,6 +259,8 @@ def resolve(keys, window, uid, doc, place, lead, tail, contents: dict, least: in
     count = np.diff(np.append(start, len(cls)))
     several = np.minimum.reduceat(least_uid[text], start) != np.maximum.reduceat(most_uid[text], start)
     keep = np.repeat(several, count)
+    if not keep.any():
+        return none, none, none, none, np.zeros(0, bool)
     first_uid = np.repeat(low_uid[text[start]], count)[keep]
     first_at = np.repeat((low_at[text] + off)[start], count)[keep]
     text, begin, finish, first_uid, first_at = _runs(text[keep], off[keep], first_uid, first_at, least)
