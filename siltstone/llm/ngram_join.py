@@ -47,7 +47,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import by_bucket, column, partitions, saved, tuned
@@ -185,7 +185,10 @@ class Layout:
 
 
 def entries(layout: Layout, grams: np.ndarray, rows: np.ndarray, hot: tuple[np.ndarray, np.ndarray] | None = None):
-    """Index (role 1) and probe (role 2) entries: keys, set numbers, roles."""
+    """Index (role 1) and probe (role 2) entries: keys, set numbers, roles.
+
+    The entries of empty segments have 4 in their role.
+    """
     size = np.diff(rows)
     own = layout.band(size)
     keys, sets, roles = [], [], []
@@ -232,7 +235,7 @@ def entries(layout: Layout, grams: np.ndarray, rows: np.ndarray, hot: tuple[np.n
         probe = np.zeros(len(n), dtype=bool)
         probe[order[nth < need[who[order]]]] = True
         # empty segments are indexed too, for the sets that must probe them
-        role = probe * 2 + (step == 0)
+        role = np.where(n == 0, 4, 0) * (probe | (step == 0)) + probe * 2 + (step == 0)
         used = role > 0
         keys.append(key[used])
         sets.append(live[who[used]])
@@ -261,6 +264,54 @@ def entries(layout: Layout, grams: np.ndarray, rows: np.ndarray, hot: tuple[np.n
     return np.concatenate(keys), np.concatenate(sets), np.concatenate(roles)
 
 
+def bitmaps(grams: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of the sets, as 64-bit words, and the words of each.
+
+    Each n-gram flips one bit, so two bitmaps differ in no more bits than the
+    sets in n-grams.  A bitmap has 1.25 to 2.5 bits an n-gram, up to 32768.
+    """
+    size = np.diff(rows)
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(size, 1) / 51.2)).astype(np.int64).clip(0), 1, 512)
+    base = np.concatenate([[0], np.cumsum(width)])
+    bit = (grams & (np.repeat(width, size) * 64 - 1).astype(U64)).astype(np.int64)
+    flips = np.bincount(np.repeat(base[:-1], size) * 64 + bit, minlength=int(base[-1]) * 64)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(U64), width
+
+
+class Bitmaps:
+    """Bitmaps of nodes by width, each also folded to half its width."""
+
+    def __init__(self, maps: np.ndarray, width: np.ndarray):
+        base = np.concatenate([[0], np.cumsum(width)])
+        self.width, self.rows, self.at = width, {}, {}
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero(width == w)
+            rows = maps[base[own][:, None] + np.arange(w)]
+            self._add(w, own, rows)
+            if w > 1:
+                self._add(w // 2, own, rows[:, : w // 2] ^ rows[:, w // 2 :])
+
+    def _add(self, w, nodes, rows):
+        if w not in self.rows:
+            self.rows[w], self.at[w] = rows, np.full(len(self.width), -1)
+            self.at[w][nodes] = np.arange(len(nodes))
+        else:
+            self.at[w][nodes] = len(self.rows[w]) + np.arange(len(nodes))
+            self.rows[w] = np.concatenate([self.rows[w], rows])
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """A lower bound of the n-grams in which sets differ; 0 where widths are too far apart."""
+        out = np.zeros(len(x), dtype=np.int64)
+        low, high = np.minimum(self.width[x], self.width[y]), np.maximum(self.width[x], self.width[y])
+        for w in np.unique(low).tolist():
+            some = np.flatnonzero((low == w) & (high <= 2 * w))
+            step = max(1, 4_000_000 // w)
+            for a in range(0, len(some), step):
+                k = some[a : a + step]
+                out[k] = np.bitwise_count(self.rows[w][self.at[w][x[k]]] ^ self.rows[w][self.at[w][y[k]]]).sum(axis=1)
+        return out
+
+
 def _send_entries(frame: DataFrame, threshold: float, cut: int, hot=None) -> DataFrame:
     """Entries of all sets (columns tid, size, grams, comp), packed by bucket."""
     layout = Layout(threshold)
@@ -271,16 +322,24 @@ def _send_entries(frame: DataFrame, threshold: float, cut: int, hot=None) -> Dat
             tid, size, comp = (batch.column(k).to_numpy() for k in (0, 1, 3))
             data, offsets = buffers_of(batch.column(2))
             for i, j in slices(offsets * 8, 400_000):
-                key, owner, role = entries(layout, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table)
+                grams, rows = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                key, owner, role = entries(layout, grams, rows, table)
+                maps, width = bitmaps(grams, rows) if table is not None else (np.zeros(0, U64), np.zeros(j - i, np.int64))
+                base = np.concatenate([[0], np.cumsum(width)])
                 owner = owner + i
                 out = []
                 for b, (k, o, r) in _spread(_bucket_of(key, cut), cut, key, owner, role):
                     seen, local = np.unique(o, return_inverse=True)
-                    out.append((b, k.tobytes(), local.astype(np.int32).tobytes(), r.tobytes(), tid[seen].tobytes(), size[seen].astype(np.int32).tobytes(), comp[seen].tobytes()))
+                    out.append((b, k.tobytes(), local.astype(np.int32).tobytes(), r.tobytes(), tid[seen].tobytes(), size[seen].astype(np.int32).tobytes(), comp[seen].tobytes(), width[seen - i].astype(np.uint16).tobytes(), maps[np.repeat(base[seen - i], width[seen - i]) + _within(width[seen - i])].tobytes()))
                 if out:
-                    yield _batches(out, ["bucket", "keys", "local", "roles", "tids", "sizes", "comps"], [pa.int32(), *[pa.binary()] * 6])
+                    yield _batches(out, ["bucket", "keys", "local", "roles", "tids", "sizes", "comps", "widths", "maps"], [pa.int32(), *[pa.binary()] * 8])
+
+    return by_bucket(frame.select("tid", "size", "grams", "comp").mapInArrow(send, "bucket int, keys binary, local binary, roles binary, tids binary, sizes binary, comps binary, widths binary, maps binary"), cut)
+
 
-    return by_bucket(frame.select("tid", "size", "grams", "comp").mapInArrow(send, "bucket int, keys binary, local binary, roles binary, tids binary, sizes binary, comps binary"), cut)
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def buffers_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -294,11 +353,13 @@ def buffers_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _lists(batches):
     """Entries of a bucket sorted by key, those with equal set and key merged."""
-    keys, nodes, roles, tids, sizes, comps = [], [], [], [], [], []
+    keys, nodes, roles, tids, sizes, comps, widths, maps = [], [], [], [], [], [], [], []
     base = 0
     for batch in batches:
-        cols = [batch.column(k) for k in range(1, 7)]
-        for k, local, r, t, s, c in zip(*cols):
+        cols = [batch.column(k) for k in range(1, 9)]
+        for k, local, r, t, s, c, w, m in zip(*cols):
+            widths.append(np.frombuffer(w.as_buffer(), dtype=np.uint16))
+            maps.append(np.frombuffer(m.as_buffer(), dtype=U64))
             keys.append(np.frombuffer(k.as_buffer(), dtype=U64))
             nodes.append(np.frombuffer(local.as_buffer(), dtype=np.int32) + np.int64(base))
             roles.append(np.frombuffer(r.as_buffer(), dtype=np.uint8))
@@ -315,26 +376,35 @@ def _lists(batches):
     keys, nodes, roles = keys[order], nodes[order], roles[order]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     ends = np.append(starts[1:], len(keys))
-    return keys, nodes, roles, starts, ends, names, sizes[first], comps[first]
+    width = np.concatenate(widths).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(width)])[first]
+    bits = np.concatenate(maps)[np.repeat(at, width[first]) + _within(width[first])]
+    return keys, nodes, roles, starts, ends, names, sizes[first], comps[first], (bits, width[first])
 
 
 def leaders(sent: DataFrame, threshold: float) -> DataFrame:
-    """Rows (a, b, votes): b shares entries with a, the least node of the list; and
+    """Rows (a, b, votes): b shares entries with a, the most central node of the list; and
     rows (a, null, votes): entry a is in the lists of so many nodes."""
 
     def run(batches):
         got = _lists(batches)
         if got is None:
             return
-        keys, nodes, _, starts, ends, names, sizes, _ = got
-        long = ends - starts >= 2
+        keys, nodes, roles, starts, ends, names, sizes, *_ = got
+        long = (ends - starts >= 2) & (roles[starts] < 4)
         member = np.repeat(long, ends - starts)
-        nodes, sets = nodes[member], np.repeat(np.arange(long.sum()), (ends - starts)[long])
-        lead = np.minimum.reduceat(nodes, np.append(0, np.cumsum((ends - starts)[long]))[:-1])[sets] if len(nodes) else nodes
+        lengths = (ends - starts)[long]
+        nodes, sets = nodes[member], np.repeat(np.arange(len(lengths)), lengths)
+        # the node in the middle of a group stands in the longest lists
+        weight = np.bincount(nodes, lengths[sets], minlength=len(names)).astype(np.int64)
+        rank = np.empty(len(names), dtype=np.int64)
+        rank[np.lexsort((names, -weight))] = np.arange(len(names))
+        by_rank = np.argsort(rank)
+        lead = by_rank[np.minimum.reduceat(rank[nodes], np.append(0, np.cumsum(lengths))[:-1])[sets]] if len(nodes) else nodes
         fits = (nodes != lead) & (np.minimum(sizes[nodes], sizes[lead]) >= threshold * np.maximum(sizes[nodes], sizes[lead]) - 1e-9)
         pair, votes = np.unique(lead[fits] * len(names) + nodes[fits], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(names[pair // len(names)]), pa.array(names[pair % len(names)], pa.int64()), pa.array(votes)], names=["a", "b", "votes"])
-        hot = ends - starts >= HOT
+        hot = (ends - starts >= HOT) & (roles[starts] < 4)
         if hot.any():
             n = int(hot.sum())
             yield pa.RecordBatch.from_arrays([pa.array(keys[starts[hot]].view(np.int64)), pa.nulls(n, pa.int64()), pa.array((ends - starts)[hot].astype(np.int64))], names=["a", "b", "votes"])
@@ -342,53 +412,75 @@ def leaders(sent: DataFrame, threshold: float) -> DataFrame:
     return sent.mapInArrow(run, "a long, b long, votes long")
 
 
-def crossing(sent: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that an entry brings together and no component holds yet."""
+def crossing(entered: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that an entry brings together, that no component holds yet, and
+    whose bitmaps don't show that they differ too much."""
     most = 2_000_000
+    slack = (1 - threshold) / (1 + threshold)
 
     def run(batches):
         got = _lists(batches)
         if got is None:
             return
-        _, nodes, roles, starts, ends, names, sizes, comps = got
+        _, nodes, roles, starts, ends, names, sizes, comps, bits = got
+        maps = Bitmaps(*bits)
         comp = comps[nodes]
-        mixed_up = (np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)) & (np.bitwise_or.reduceat(roles, starts) == 3)
+        mixed_up = (np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)) & (np.bitwise_or.reduceat(roles, starts) & 3 == 3)
         held: list[np.ndarray] = []
-        n = 0
+        n, done = 0, np.zeros(0, np.int64)
 
-        def flush():
-            pair = np.unique(np.concatenate(held))
+        def fresh() -> np.ndarray:
+            nonlocal done
+            pair = np.setdiff1d(np.concatenate(held), done)
+            done = np.union1d(done, pair) if len(done) + len(pair) <= 4 * most else pair
+            x, y = pair // len(names), pair % len(names)
+            return pair[maps.differ(x, y) <= slack * (sizes[x] + sizes[y]) + 1e-9]
+
+        def sent(pair):
             return pa.RecordBatch.from_arrays([pa.array(names[pair // len(names)]), pa.array(names[pair % len(names)])], names=["a", "b"])
 
-        for s, e in zip(starts[mixed_up].tolist(), ends[mixed_up].tolist()):
-            own, role = nodes[s:e], roles[s:e]
-            index, probe = own[role & 1 > 0], own[role & 2 > 0]
-            for a in range(0, len(probe), 1000):
-                x, y = np.repeat(probe[a : a + 1000], len(index)), np.tile(index, len(probe[a : a + 1000]))
+        def cross(probe, index):
+            nonlocal n
+            for a in range(0, len(probe), max(1, 1_000_000 // max(len(index), 1))):
+                part = probe[a : a + max(1, 1_000_000 // max(len(index), 1))]
+                x, y = np.repeat(part, len(index)), np.tile(index, len(part))
                 ok = (comps[x] != comps[y]) & ((sizes[x] < sizes[y]) | ((sizes[x] == sizes[y]) & (x != y))) & (sizes[x] >= threshold * sizes[y] - 1e-9)
                 if ok.any():
                     held.append(np.unique(np.minimum(x[ok], y[ok]) * len(names) + np.maximum(x[ok], y[ok])))
                     n += len(held[-1])
-                    if n > most:
-                        held = [np.unique(np.concatenate(held))]
-                        n = len(held[0])
-                        if n > most // 2:
-                            yield flush()
-                            held, n = [], 0
+                if n > most:
+                    yield sent(fresh())
+                    held.clear()
+                    n = 0
+
+        for s, e in zip(starts[mixed_up].tolist(), ends[mixed_up].tolist()):
+            own, role = nodes[s:e], roles[s:e]
+            # the largest component's nodes needn't meet each other
+            names_, count = np.unique(comps[own], return_counts=True)
+            major = comps[own] == names_[count.argmax()]
+            index, probe = role & 1 > 0, role & 2 > 0
+            yield from cross(own[probe & ~major], own[index])
+            yield from cross(own[probe & major], own[index & ~major])
         if held:
-            yield flush()
+            yield sent(fresh())
 
-    return sent.mapInArrow(run, "a long, b long").distinct()
+    return entered.mapInArrow(run, "a long, b long").distinct()
 
 
 # ---- step 3: verification and groups ---------------------------------------
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold, with ``jaccard``."""
-    left = sets.select(F.col("tid").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("tid").alias("b"), F.col("grams").alias("y"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y")
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold, with ``jaccard``.
+
+    The pairs are sent to the sets while they are few, so that only the sets
+    that some pair names move; beyond that they are joined.
+    """
+    pairs = saved(pairs.select("a", "b"))
+    few = F.broadcast if pairs.count() <= broadcast_rows else lambda df: df
+    right = sets.select(F.col("tid").alias("b"), F.col("grams").alias("y")).join(few(pairs), "b")
+    left = sets.select(F.col("tid").alias("a"), F.col("grams").alias("x")).join(few(pairs.select("a").distinct()), "a", "left_semi")
+    both = right.join(left, "a").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -429,7 +521,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return alone.unionByName(labels)
 
 
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000, hot_rows: int = 500_000) -> DataFrame:
+def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000, hot_rows: int = 500_000, tries: int = 1) -> DataFrame:
     """The groups of the exact join: see the module."""
     spark = tuned(docs.sparkSession)
     cut = partitions(spark)
@@ -444,13 +536,14 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str
 
     # dense groups: one verified partner each
     near = saved(leaders(_send_entries(sets.withColumn("comp", F.col("tid")), threshold, cut), threshold))
-    best = near.where("b is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes")).groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a"))
+    order = Window.partitionBy("b").orderBy(F.desc("votes"), "a")
+    best = near.where("b is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= tries).select("a", "b")
     first = saved(verified(best, sets, threshold))
     comp = saved(components(sets.select("tid"), first))
     hot = near.where("b is null").orderBy(F.desc("votes"), "a").limit(hot_rows).select("a", "votes").toPandas()
     keys = hot["a"].to_numpy(dtype=np.int64).view(U64)
-    order = np.argsort(keys)
-    table = spark.sparkContext.broadcast((keys[order], hot["votes"].to_numpy(dtype=np.int64)[order]))
+    by_key = np.argsort(keys)
+    table = spark.sparkContext.broadcast((keys[by_key], hot["votes"].to_numpy(dtype=np.int64)[by_key]))
 
     # everything else
     rest = crossing(_send_entries(sets.join(comp, "tid"), threshold, cut, table), threshold)
