@@ -24,7 +24,7 @@ def schedule(queue: DataFrame, delay_s: float = 5.0, host: str = "host", seq: st
     """
     order = Window.partitionBy(host).orderBy(seq)
     nth = F.row_number().over(order) - 1
-    micros = (F.unix_micros(start) - nth * F.lit(int(delay_s * 1_000_000))).alias("m")
+    micros = (F.unix_micros(F.col(start).cast("timestamp")) - nth * F.lit(int(delay_s * 1_000_000))).alias("m")
     shifted = queue.withColumn("__n", nth).withColumn("__m", micros)
     high = F.max("__m").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return shifted.withColumn("ready_at", F.timestamp_micros(high + F.col("__n") * F.lit(int(delay_s * 1_000_000)))).drop("__n", "__m")
@@ -32,7 +32,7 @@ def schedule(queue: DataFrame, delay_s: float = 5.0, host: str = "host", seq: st
 
 def backoff(attempt: Column, base_ms: int = 500, most_ms: int = 30_000) -> Column:
     """Wait before the retry: doubled each time, up to a limit."""
-    return F.least(F.lit(base_ms) * F.shiftleft(F.lit(1).cast("long"), F.least(attempt, F.lit(40)).cast("int")), F.lit(most_ms)).cast("long")
+    return F.least(F.lit(base_ms) * F.pow(F.lit(2.0), F.least(attempt, F.lit(40))).cast("long"), F.lit(most_ms)).cast("long")
 
 
 def retried(status: Column) -> Column:
