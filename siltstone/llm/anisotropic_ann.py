@@ -149,6 +149,17 @@ def scan(queries: np.ndarray, codes: np.ndarray, book: np.ndarray, most: int) ->
     return out
 
 
+def later(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which places hold an id that stands before in its row; ``ids`` are in rank order."""
+    order = np.argsort(ids, axis=1, kind="stable")
+    same = np.take_along_axis(ids, order, axis=1)
+    again = np.zeros(ids.shape, dtype=bool)
+    again[:, 1:] = same[:, 1:] == same[:, :-1]
+    out = np.zeros(ids.shape, dtype=bool)
+    np.put_along_axis(out, np.take_along_axis(places, order, axis=1), again, axis=1)
+    return out
+
+
 def search(vectors: DataFrame, k: int = 10, rerank: int = 200, cell_rows: int = 8192, query_rows: int = 4096, probe_share: float = 1.0, seed: int = 5) -> DataFrame:
     """The ``k`` rows of largest inner product for every row."""
     spark = tuned(vectors.sparkSession)
@@ -184,10 +195,16 @@ def search(vectors: DataFrame, k: int = 10, rerank: int = 200, cell_rows: int =
         b = b.take(pa.array(order))
         x, ids = matrix(b["embedding"]), b["vec_id"].to_numpy()
         codes = np.frombuffer(b"".join(b["codes"].to_pylist()), dtype=np.uint8).reshape(len(x), -1)
-        found = np.sort(scan(_pad(q), codes, book.value, rerank), axis=1)
+        # so many rows have at least ``rerank`` ids
+        repeats = int(np.unique(ids, return_counts=True)[1].max())
+        found = np.sort(scan(_pad(q), codes, book.value, rerank * repeats), axis=1)
         exact = np.stack([x[f].astype(np.float64) @ v.astype(np.float64) for f, v in zip(found, q)])
         exact[ids[found] == own[:, None]] = -np.inf
-        best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+        best = np.argsort(-exact, axis=1, kind="stable")
+        if repeats > 1:
+            exact[later(np.take_along_axis(ids[found], best, axis=1), best)] = -np.inf
+            best = np.argsort(-exact, axis=1, kind="stable")
+        best = best[:, :k]
         score = np.take_along_axis(exact, best, axis=1)
         ok = np.isfinite(score).ravel()
         return pa.table({"vec_id": np.repeat(own, best.shape[1])[ok], "neighbor_id": ids[np.take_along_axis(found, best, axis=1)].ravel()[ok], "score": score.ravel()[ok]})
