@@ -193,7 +193,7 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", max_rows:
     urls = [*got[0]["url"], *got[1]["url"]]
     y = np.concatenate([np.zeros(len(got[0])), np.ones(len(got[1]))])
     rates = suffix_rates(urls, y)
-    x = np.array([lexical(u, rates) for u in urls], dtype=np.float64).reshape(len(urls), -1)
+    x = np.array([lexical(u, rates) for u in [*urls, ""]], dtype=np.float64)[:-1]
     return grow(x, y, rates)
 
 
