@@ -59,6 +59,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def ways(spark: SparkSession, size: float, most: int) -> int:
+    """How many buckets of at most so many bytes, two a core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / most))
+
+
 def by_bucket(df: DataFrame, n: int, name: str = "bucket") -> DataFrame:
     """Moves each row to the partition that its bucket number names."""
     return df.repartitionById(n, F.col(name))

@@ -50,12 +50,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by_bucket, column, partitions, saved, tuned
+from .frames import by_bucket, column, saved, tuned, ways
 from .textarrays import buffers, mix, ngrams, slices, unique_by_row, words
 
 N = 3
 THRESHOLD = 0.6
 FLEX = 8
+#: Bytes of packed keys in a bucket.  A set's id, size and bitmap go to every
+#: bucket in which it has keys, so there are as few buckets as memory allows.
+BUCKET_BYTES = 32_000_000
 HOT = 16
 U64 = np.uint64
 
@@ -100,9 +103,8 @@ def shingles(col: pa.Array, n: int):
         yield i, *unique_by_row(*ngrams(hashed, rows, n))
 
 
-def survivors(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+def survivors(nodes: DataFrame, n: int, threshold: float, cut: int) -> DataFrame:
     """``tid`` of the nodes that share enough n-grams with other nodes."""
-    cut = partitions(nodes.sparkSession)
 
     def send(batches):
         for batch in batches:
@@ -313,7 +315,12 @@ class Bitmaps:
 
 
 def _send_entries(frame: DataFrame, threshold: float, cut: int, hot=None) -> DataFrame:
-    """Entries of all sets (columns tid, size, grams, comp), packed by bucket."""
+    """Entries of all sets (columns tid, size, grams, comp), packed by bucket.
+
+    ``hot``: keys of long lists, their lengths, and the keys of empty segments
+    that some set probes.  Other empty segments aren't sent; before these are
+    known, only the probes are.
+    """
     layout = Layout(threshold)
 
     def send(batches):
@@ -323,7 +330,11 @@ def _send_entries(frame: DataFrame, threshold: float, cut: int, hot=None) -> Dat
             data, offsets = buffers_of(batch.column(2))
             for i, j in slices(offsets * 8, 400_000):
                 grams, rows = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                key, owner, role = entries(layout, grams, rows, table)
+                key, owner, role = entries(layout, grams, rows, None if table is None else table[:2])
+                sent = (role < 4) | (role & 2 > 0)
+                if table is not None and len(table[2]):
+                    sent |= table[2][np.minimum(np.searchsorted(table[2], key), len(table[2]) - 1)] == key
+                key, owner, role = key[sent], owner[sent], role[sent]
                 maps, width = bitmaps(grams, rows) if table is not None else (np.zeros(0, U64), np.zeros(j - i, np.int64))
                 base = np.concatenate([[0], np.cumsum(width)])
                 owner = owner + i
@@ -384,7 +395,8 @@ def _lists(batches):
 
 def leaders(sent: DataFrame, threshold: float) -> DataFrame:
     """Rows (a, b, votes): b shares entries with a, the most central node of the list; and
-    rows (a, null, votes): entry a is in the lists of so many nodes."""
+    rows (a, null, votes): entry a is in the lists of so many nodes, or for 0 votes,
+    it is an empty segment that some set probes."""
 
     def run(batches):
         got = _lists(batches)
@@ -404,10 +416,11 @@ def leaders(sent: DataFrame, threshold: float) -> DataFrame:
         fits = (nodes != lead) & (np.minimum(sizes[nodes], sizes[lead]) >= threshold * np.maximum(sizes[nodes], sizes[lead]) - 1e-9)
         pair, votes = np.unique(lead[fits] * len(names) + nodes[fits], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(names[pair // len(names)]), pa.array(names[pair % len(names)], pa.int64()), pa.array(votes)], names=["a", "b", "votes"])
-        hot = (ends - starts >= HOT) & (roles[starts] < 4)
-        if hot.any():
-            n = int(hot.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(keys[starts[hot]].view(np.int64)), pa.nulls(n, pa.int64()), pa.array((ends - starts)[hot].astype(np.int64))], names=["a", "b", "votes"])
+        empty = roles[starts] >= 4
+        told = empty | (ends - starts >= HOT)
+        if told.any():
+            n = int(told.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[starts[told]].view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.where(empty, 0, ends - starts)[told].astype(np.int64))], names=["a", "b", "votes"])
 
     return sent.mapInArrow(run, "a long, b long, votes long")
 
@@ -524,15 +537,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000, hot_rows: int = 500_000, tries: int = 1) -> DataFrame:
     """The groups of the exact join: see the module."""
     spark = tuned(docs.sparkSession)
-    cut = partitions(spark)
     body = column(docs, text).cast("string")
     rows = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("tid"), body.alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
-    ids = saved(rows.select("doc_id", "tid"))
-    found = survivors(rows.select("tid", "text"), n, threshold)
+    held = saved(rows.select("doc_id", "tid", F.octet_length("text").cast("long").alias("bytes")))
+    ids = held.select("doc_id", "tid")
+    # a word of about five bytes has one n-gram of four
+    found = survivors(rows.select("tid", "text"), n, threshold, ways(spark, held.agg(F.sum("bytes")).head()[0] or 0, BUCKET_BYTES))
     kept = saved(found.join(ids.groupBy("tid").agg(F.min("doc_id").alias("doc_id")), "tid"))
     some = kept.count()
     chosen = rows.join(F.broadcast(kept) if some <= broadcast_rows else kept, ["doc_id", "tid"], "left_semi")
     sets = saved(node_sets(chosen.select("tid", "text"), n))
+    # an n-gram makes one entry of 13 bytes, or a little more
+    cut = ways(spark, 16 * (sets.agg(F.sum("size")).head()[0] or 0), BUCKET_BYTES)
 
     # dense groups: one verified partner each
     near = saved(leaders(_send_entries(sets.withColumn("comp", F.col("tid")), threshold, cut), threshold))
@@ -540,10 +556,12 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str
     best = near.where("b is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= tries).select("a", "b")
     first = saved(verified(best, sets, threshold))
     comp = saved(components(sets.select("tid"), first))
-    hot = near.where("b is null").orderBy(F.desc("votes"), "a").limit(hot_rows).select("a", "votes").toPandas()
+    hot = near.where("b is null and votes > 0").orderBy(F.desc("votes"), "a").limit(hot_rows).select("a", "votes").toPandas()
     keys = hot["a"].to_numpy(dtype=np.int64).view(U64)
     by_key = np.argsort(keys)
-    table = spark.sparkContext.broadcast((keys[by_key], hot["votes"].to_numpy(dtype=np.int64)[by_key]))
+    # at most the segments of all bands: their number follows the longest text, not the rows
+    empty = np.sort(near.where("b is null and votes = 0").select("a").distinct().toPandas()["a"].to_numpy(dtype=np.int64).view(U64))
+    table = spark.sparkContext.broadcast((keys[by_key], hot["votes"].to_numpy(dtype=np.int64)[by_key], empty))
 
     # everything else
     rest = crossing(_send_entries(sets.join(comp, "tid"), threshold, cut, table), threshold)
