@@ -31,10 +31,17 @@ def ship(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     path = os.path.join(folder, f)
                     z.write(path, os.path.relpath(path, ROOT))
-    # the driver's staging file: Spark serves it to the executors from here
-    path = os.path.join(tempfile.mkdtemp(prefix="siltstone-"), "siltstone.zip")
-    with open(path, "wb") as f:
-        f.write(held.getvalue())
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:  # the folder that all machines share
+        name = context._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/siltstone-{context.applicationId}.zip")
+        out = name.getFileSystem(context._jsc.hadoopConfiguration()).create(name, True)
+        out.write(held.getvalue())
+        out.close()
+        path = name.toString()
+    else:
+        path = os.path.join(tempfile.mkdtemp(prefix="siltstone-"), "siltstone.zip")
+        with open(path, "wb") as f:
+            f.write(held.getvalue())
     context.addPyFile(path)
     _shipped.add(context.applicationId)
 
