@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rank import bm25, query_terms, ranked
+from .rank import bm25, numbered, query_terms, ranked
 from .vector import nearest, with_rank
 
 K = 60
@@ -23,7 +23,7 @@ def fused(rankings: list[DataFrame], k: int = K, key: str = "doc_id") -> DataFra
     for r in rankings[1:]:
         every = every.unionByName(r.select(key, "rank"))
     total = every.groupBy(key).agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("rrf"))
-    return total.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("rrf", 12)), key)))
+    return numbered(total, F.round("rrf", 12), key)
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame | None, query: str, embed: Callable[[str], list[float]] | None, semantic: int = SEMANTIC) -> DataFrame:

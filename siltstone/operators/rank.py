@@ -60,7 +60,8 @@ def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> Dat
     held = matches(docs, terms)
     stats = held.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     tf = held.where(F.size("found") > 0).select("doc_id", "dl", F.explode("found").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # reads tf, so that both uses of tf have the same columns and share one exchange
+    df = tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
     weight = terms.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).withColumn("w", idf(F.col("n"), F.col("df")) * F.col("qtf"))
     return tf.join(F.broadcast(weight), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
 
@@ -74,11 +75,28 @@ def bm25_index(index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFra
     return scored(tf, lengths, stats, index.frequency(*wanted), terms, k1, b)
 
 
+def numbered(rows: DataFrame, by: Column, then: str, within: tuple[str, ...] = (), into: str = "rank") -> DataFrame:
+    """Adds each row's place from 1: ``by`` descending (none below 0), then ``then``.
+
+    Without a limit all rows of a query have places, and one task would sort
+    them.  So rows fall into bands of values a thousandth apart; the counts of
+    the bands, a small table, give each band's first place, and only bands are
+    sorted.
+    """
+    held = rows.withColumn("__by", by).withColumn("__band", F.floor(F.log(F.greatest(F.col("__by").cast("double"), F.lit(1e-300))) * 1000))
+    before = Window.partitionBy(*within).orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = held.groupBy(*within, "__band").agg(F.count("*").alias("__n"))
+    offsets = counts.select(*within, "__band", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = Window.partitionBy(*within, "__band").orderBy(F.desc("__by"), then)
+    return held.join(offsets, [*within, "__band"]).select(*rows.columns, (F.row_number().over(place) + F.col("__before")).alias(into))
+
+
 def ranked(scores: DataFrame, k: int | None = None, id_column: str = "doc_id") -> DataFrame:
     """Adds ``rank`` by score, then id; the first k of each query."""
+    if k is None:
+        return numbered(scores, F.round("score", 9), id_column, ("query_id",))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_column)
-    out = scores.withColumn("rank", F.row_number().over(w))
-    return out if k is None else out.where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def without(rows: DataFrame, deleted: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -357,10 +357,8 @@ def hybrid_fallback(spark, d):
 
 @register("rrf_fusion", "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC, quality) AS rank FROM labels), f AS (SELECT doc_id, sum(1e0 / (60 + rank)) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id) SELECT doc_id, round(rrf, 9) AS rrf FROM f")
 def rrf_fusion(spark, d):
-    from pyspark.sql import Window
-
-    a = table(spark, d, "documents").select("doc_id", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
-    b = table(spark, d, "labels").select("doc_id", F.row_number().over(Window.orderBy(F.desc("doc_id"), "quality")).alias("rank"))
+    a = rank.numbered(table(spark, d, "documents").select("doc_id", "n_chars"), F.col("n_chars"), "doc_id")
+    b = rank.numbered(table(spark, d, "labels").select("doc_id", "quality"), F.col("doc_id"), "quality")
     return hybrid.fused([a, b]).select("doc_id", F.round("rrf", 9).alias("rrf"))
 
 
