@@ -24,6 +24,16 @@ def column(df: DataFrame, name: str):
     return df[f"`{name}`"] if name in df.columns else F.lit(None)
 
 
+def by_place(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The rows with columns named by place, ``c0`` and on, and the new names of some.
+
+    No name of the input can then clash with those an operator makes; ``toDF``
+    with the old names brings them back.  A column that is missing has no name.
+    """
+    at = {c: f"c{i}" for i, c in reversed(list(enumerate(df.columns)))}
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [at.get(n, "") for n in names]
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds the bytes of an Arrow batch, unless the session has its own bound."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import column, tuned
+from .frames import by_place, column, tuned
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -42,6 +42,7 @@ CHUNK = 500_000
 SPACE = 32
 #: Code points from here on are held to be no letters.
 LETTERS_END = 0x32400
+MIN_CONFIDENCE = 0.5
 RESULT = ("language", "confidence", "accepted")
 
 
@@ -205,7 +206,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", max_rows_per
     return fit_counts({r["label"]: np.frombuffer(r["counts"], dtype=np.int64) for r in parts.collect()})
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", min_confidence: float = 0.5, keep_text: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", min_confidence: float = MIN_CONFIDENCE, keep_text: bool = True) -> DataFrame:
     """Adds ``language``, ``confidence`` and ``accepted`` to every row."""
     spark = tuned(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)
@@ -215,7 +216,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", min_confidence:
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column("__text").to_pylist()]
+            texts = [t or "" for t in b.column(len(passed)).to_pylist()]
             language, confidence, accepted = held.value.predict(texts, min_confidence)
             cols = [b.column(i) for i, f in enumerate(passed) if keep_text or f.name != text]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(language, pa.string()), pa.array(confidence), pa.array(accepted)], names=schema.names)
@@ -231,9 +232,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language isn't accepted go.
+    """Pipeline stage: documents whose language isn't accepted go; columns stay as they are."""
+    held = spark.sparkContext.broadcast(train(docs))
+    named, (text,) = by_place(docs, "text")
+    given = named.select("*", column(named, text).cast("string").alias("text"))
 
-    Only the decision crosses into Python and back beside the passed columns.
-    """
-    model = train(docs)
-    return identify(docs, model).where("accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
+    def run(batches):
+        for b in batches:
+            _, _, accepted = held.value.predict([t or "" for t in b.column(len(b.schema) - 1).to_pylist()], MIN_CONFIDENCE)
+            yield b.select(list(range(len(b.schema) - 1))).filter(pa.array(accepted, pa.bool_()))
+
+    return given.mapInArrow(run, named.schema).toDF(*docs.columns)

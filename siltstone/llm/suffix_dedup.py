@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import by_bucket, column, partitions, saved, tuned
+from .frames import by_bucket, by_place, column, partitions, saved, tuned
 from .ngram_join import _batches, _bucket_of, _gathered, _spread
 from .textarrays import SPACE, _powers, buffers, mix, slices, words
 
@@ -416,14 +416,18 @@ def without_passages(docs: DataFrame, least: int = LEAST, text: str = "text", do
     ``n_chars`` follows the text; a document of which no word is left goes.
     Columns and all other rows stay as they are.
     """
+    names = docs.columns
+    docs, (text, doc_id, n_chars) = by_place(docs, text, doc_id, "n_chars")
+    if not text:
+        return docs.toDF(*names)
     found = saved(spans(docs, least, text, doc_id).where("cut"))
-    by_doc = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("__cuts"))
+    by_doc = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
     fields = docs.schema.fields
     body = column(docs, text).cast("string")
-    keyed = docs.select(*[docs[f"`{f.name}`"] for f in fields], F.when(column(docs, doc_id).isNotNull(), F.xxhash64(column(docs, doc_id).cast("long"), body)).alias("uid"))
-    joined = keyed.join(by_doc, "uid", "left").select(*[f"`{f.name}`" for f in fields], "__cuts")
+    keyed = docs.select("*", F.when(column(docs, doc_id).isNotNull(), F.xxhash64(column(docs, doc_id).cast("long"), body)).alias("uid"))
+    joined = keyed.join(by_doc, "uid", "left").select(*docs.columns, "cuts")
     at = [f.name for f in fields].index(text)
-    chars = next((i for i, f in enumerate(fields) if f.name == "n_chars"), None)
+    chars = next((i for i, f in enumerate(fields) if f.name == n_chars), None)
 
     def run(batches):
         for batch in batches:
@@ -446,7 +450,7 @@ def without_passages(docs: DataFrame, least: int = LEAST, text: str = "text", do
                 cols = [c.filter(kept) for c in cols]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return joined.mapInArrow(run, T.StructType(fields))
+    return joined.mapInArrow(run, T.StructType(fields)).toDF(*names)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
