@@ -6,6 +6,7 @@ import math
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,16 +55,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def saved(df: DataFrame, keep: bool = False) -> DataFrame:
     """Writes the rows to the shared folder and reads them back.
 
     This cuts the lineage in a way that survives the loss of any executor.
+    Within ``scratch`` the files last until its end, unless they are to be kept.
     """
     path = shared_dir(df.sparkSession)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what was saved within, so that no step leaves its tables to the next."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _scopes.pop():
+            name = context._jvm.org.apache.hadoop.fs.Path(path)
+            name.getFileSystem(context._jsc.hadoopConfiguration()).delete(name, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many ways to cut a shuffle: the session's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by_bucket, column, saved, tuned, ways
+from .frames import by_bucket, column, saved, scratch, tuned, ways
 from .textarrays import buffers, mix, ngrams, slices, unique_by_row, words
 
 N = 3
@@ -535,8 +535,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000, hot_rows: int = 500_000, tries: int = 1) -> DataFrame:
-    """The groups of the exact join: see the module."""
+    """The groups of the exact join: see the module.  Only the result's table is kept."""
     spark = tuned(docs.sparkSession)
+    with scratch(spark):
+        return saved(_groups(spark, docs, n, threshold, text, doc_id, broadcast_rows, hot_rows, tries), keep=True)
+
+
+def _groups(spark, docs: DataFrame, n: int, threshold: float, text: str, doc_id: str, broadcast_rows: int, hot_rows: int, tries: int) -> DataFrame:
     body = column(docs, text).cast("string")
     rows = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("tid"), body.alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
     held = saved(rows.select("doc_id", "tid", F.octet_length("text").cast("long").alias("bytes")))

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import by_bucket, by_place, column, partitions, saved, tuned
+from .frames import by_bucket, by_place, column, partitions, saved, scratch, tuned
 from .ngram_join import _batches, _bucket_of, _gathered, _spread
 from .textarrays import SPACE, _powers, buffers, mix, slices, words
 
@@ -410,7 +410,7 @@ def cut_words(text: str, starts: list[int], ends: list[int]) -> str:
     return data[keep].tobytes().decode("utf-8", "surrogatepass").rstrip() if not keep.all() else text
 
 
-def without_passages(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def without_passages(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
     """The documents with all but the first place of each passage cut.
 
     ``n_chars`` follows the text; a document of which no word is left goes.
@@ -420,12 +420,14 @@ def without_passages(docs: DataFrame, least: int = LEAST, text: str = "text", do
     docs, (text, doc_id, n_chars) = by_place(docs, text, doc_id, "n_chars")
     if not text:
         return docs.toDF(*names)
-    found = saved(spans(docs, least, text, doc_id).where("cut"))
+    with scratch(docs.sparkSession):
+        found = saved(spans(docs, least, text, doc_id).where("cut"), keep=True)
     by_doc = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
     fields = docs.schema.fields
     body = column(docs, text).cast("string")
     keyed = docs.select("*", F.when(column(docs, doc_id).isNotNull(), F.xxhash64(column(docs, doc_id).cast("long"), body)).alias("uid"))
-    joined = keyed.join(by_doc, "uid", "left").select(*docs.columns, "cuts")
+    # the cuts go to the texts while they are few; beyond that both are joined
+    joined = keyed.join(F.broadcast(by_doc) if found.count() <= broadcast_rows else by_doc, "uid", "left").select(*docs.columns, "cuts")
     at = [f.name for f in fields].index(text)
     chars = next((i for i, f in enumerate(fields) if f.name == n_chars), None)
 
