@@ -8,7 +8,10 @@ Defined results
 ---------------
 * Scripts, styles, templates, comments and declarations have no text; entities
   are decoded; white space in a block becomes one space; blocks without words
-  are dropped.  Broken markup is read as far as it goes, never refused.
+  are dropped.  Broken markup is read as far as it goes, never refused: only
+  a script, style or comment left open runs to the end of the page.  A head
+  ends at its closing tag or at what can't stand in it, text or tag; other
+  silent tags that are self-closed or never closed hide nothing.
 * A page's text is its content blocks, joined by newlines; where there are
   none, and for null or empty pages, it is empty.
 * Result columns ``text, n_blocks, n_content`` replace input columns of these
@@ -32,11 +35,16 @@ from .frames import column, tuned
 
 RESULT = ("text", "n_blocks", "n_content")
 _BLOCK = "address article aside blockquote body br button caption center dd details dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
-_SILENT = "script|style|noscript|template|svg|head"
+_RAW = frozenset("script style".split())
+_SILENT = frozenset("script style noscript template svg".split())
+#: What can stand in a head; the end of any other tag is ignored there.
+_HEAD = frozenset("html head title meta link base basefont bgsound noscript script style template svg".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<({_SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*>?",
-    re.S | re.I,
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:\"[^\"]*\"|'[^']*'|[^'\">])*>?",
+    re.S,
 )
+#: A slash that ends a tag, not an unquoted value.
+_EMPTY = re.compile(r"<[^\s>/]+(?:\s*|.*[\s\"']|.*\s[^\s=\"']+)/>\Z", re.S)
 BLOCKS = frozenset(_BLOCK)
 
 #: Blocks labelled by hand: words and link density of the block, of the one
@@ -107,12 +115,35 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+@cache
+def _tags(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?![a-z0-9:-])[^>]*>?", re.I)
+
+
+def _hidden(page: str, name: str, tag: str, at: int, open_: set[str]) -> int:
+    """Where the element ends whose start tag ends at ``at``; there if it hides nothing.
+
+    ``open_`` holds the names of which no closing tag follows any more.
+    """
+    if name not in open_:
+        if _EMPTY.match(tag):
+            # <script/> holds nothing, unless its own closing tag comes next
+            after = _tags(name).search(page, at)
+            return after.end() if after and after.group(1) and name != "svg" else at
+        for after in _tags(name).finditer(page, at):
+            if after.group(1):
+                return after.end()
+        open_.add(name)
+    return len(page) if name in _RAW and not _EMPTY.match(tag) else at
+
+
 def blocks(page: str | None) -> list[tuple[str, int, float]]:
     """Text, word count and link density of each block, in order."""
     out: list[tuple[str, int, float]] = []
     text: list[str] = []
     linked = 0
-    in_link = False
+    in_link = in_head = False
+    silent, open_ = _SILENT, set()
 
     def close():
         nonlocal linked
@@ -124,23 +155,32 @@ def blocks(page: str | None) -> list[tuple[str, int, float]]:
         linked = 0
 
     def take(piece: str):
-        nonlocal linked
-        if piece:
+        nonlocal linked, in_head
+        in_head = in_head and not piece.strip()
+        if piece and not in_head:
             text.append(piece)
             if in_link:
                 linked += len(piece.split())
 
     at = 0
     page = page or ""
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         take(page[at : m.start()])
         at = m.end()
-        name = m.group(3)
+        name = m.group(2)
         if name is None:
             continue
         name = name.lower()
-        if name == "a":
-            in_link = not m.group(2)
+        ends = bool(m.group(1))
+        if in_head:
+            in_head = name != "head" if ends else name in _HEAD
+        elif name == "head" and not ends:
+            in_head = True
+            silent = _SILENT | {"title"}
+        if name in silent and not ends:
+            at = _hidden(page, name, m.group(), at, open_)
+        elif name == "a":
+            in_link = not ends
         elif name in BLOCKS:
             close()
     take(page[at:])

@@ -14,6 +14,21 @@ def test_blocks():
     assert H.blocks("<p>open <b>never closed") == [("open never closed", 3, 0.0)]
 
 
+def test_head_and_svg_hide_no_body():
+    """Heads without their closing tag, svgs closed in themselves or not at all."""
+    body = "<p>one two</p><div>three</div>"
+    want = [("one two", 2, 0.0), ("three", 1, 0.0)]
+    head = "<html><head><title>no <p></title><meta charset='x'><script>a = '</head><p>no</p>'</script><style>p {}</style>"
+    for page in (head + "<body>" + body, head + body, head + "</head>" + body, "<head/>" + body, "<head>" + body, "<HEAD><title>no</title>\n<BODY>" + body):
+        assert H.blocks(page) == want, page
+    for svg in ("<svg/>", "<svg viewBox='0 0 1 1' />", '<svg a="b"/>', "<svg hidden/>", "<svg><text>no</text></svg>", "<svg>", "<template>", "<noscript>", "<script src='x'/>", "<style/><!-- no -->"):
+        assert H.blocks(svg + body) == want, svg
+    assert H.blocks("<head><title>no</title>one <b>two</b>") == [("one two", 2, 0.0)]
+    assert H.blocks("<script src=x/>no</script>" + body) == want == H.blocks("<script src='x'/>no</script>" + body)
+    assert H.blocks(body + "<script>no") == want == H.blocks(body + "<style>no <p>no") == H.blocks(body + "<!-- no <p>no")
+    assert len(H.blocks("<svg>" * 100_000 + body)) == len(H.blocks("<svg/>" * 100_000 + body)) == 2
+
+
 def test_tree_fits_its_table():
     table = np.array(H.LABELLED, dtype=float)
     assert (H.classify(H.default_tree(), table[:, :6]) == (table[:, 6] == 1)).mean() > 0.93
