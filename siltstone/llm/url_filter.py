@@ -14,9 +14,11 @@ Defined results
 ---------------
 * A null or empty URL, or one without a host, has zero lengths; it is scored
   like any other.  Text that can't be parsed as a URL is all path.
-* Fitted on at most ``max_rows`` labelled URLs of each class, by hash; null
-  URLs and labels aren't used.  With no label, or one class only, the score is
-  the smoothed share of that class for all.
+* Suffixes and classes are counted over all labelled URLs.  The trees are grown
+  on at most ``max_rows`` of each class, by hash, each weighing as many URLs of
+  its class as it stands for, so that scores are probabilities at the classes'
+  real shares.  Null URLs and labels aren't used.  With no label, or one class
+  only, the score is the smoothed share of that class for all.
 * Result columns ``score`` (rounded to six places) and ``keep`` replace input
   columns of these names; other columns pass; repeated rows score alike.  An
   empty table gives an empty result.
@@ -97,17 +99,36 @@ def lexical(url: str | None, rates: dict[str, tuple[float, float]]) -> list[floa
     return out
 
 
-def suffix_rates(urls: list[str], labels: np.ndarray, prior: float = 20.0) -> dict[str, tuple[float, float]]:
-    """For each suffix of one and two labels: log count, smoothed rate of label 1."""
-    base = float(labels.mean()) if len(labels) else 0.5
-    held: dict[str, list[float]] = {}
+def suffix_counts(urls, labels) -> dict[str, list[int]]:
+    """URLs and those of label 1 by suffix of one and two labels, and of all under a null key."""
+    held: dict[str | None, list[int]] = {}
     for u, y in zip(urls, labels):
-        for s in set(suffixes(parts(u)[0])):
-            t = held.setdefault(s, [0.0, 0.0])
+        for s in {None, *suffixes(parts(u)[0])}:
+            t = held.setdefault(s, [0, 0])
             t[0] += 1
-            t[1] += y
+            t[1] += int(y)
+    return held
+
+
+def suffix_rates(counts: dict[str | None, tuple[int, int]], prior: float = 20.0, least: int = 30) -> dict[str, tuple[float, float]]:
+    """For each suffix of one and two labels: log count, smoothed rate of label 1."""
+    total, ones = counts.get(None, (0, 0))
+    base = ones / total if total else 0.5
     # two-label suffixes are names; only those of several URLs say anything
-    return {"": (0.0, base)} | {s: (float(np.log1p(n)), (k + prior * base) / (n + prior)) for s, (n, k) in held.items() if n >= 30}
+    return {"": (0.0, base)} | {s: (float(np.log1p(n)), (k + prior * base) / (n + prior)) for s, (n, k) in counts.items() if s is not None and n >= least}
+
+
+def counted(rows: DataFrame, least: int = 30) -> dict[str | None, tuple[int, int]]:
+    """``suffix_counts`` of all rows (``url, label``); suffixes of fewer than ``least`` URLs are left out."""
+
+    def run(batches):
+        for b in batches:
+            held = suffix_counts(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([k for _, k in held.values()], pa.int64())], names=["suffix", "n", "k"])
+
+    sums = rows.select("url", "label").mapInArrow(run, "suffix string, n long, k long").groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    got = sums.where(F.col("suffix").isNull() | (F.col("n") >= least)).toPandas()
+    return {s if isinstance(s, str) else None: (int(n), int(k)) for s, n, k in zip(got["suffix"], got["n"], got["k"])}
 
 
 @dataclass
@@ -139,10 +160,11 @@ class Trees:
         return 1.0 / (1.0 + np.exp(-self.raw(x)))
 
 
-def grow(x: np.ndarray, y: np.ndarray, rates=None, trees: int = 60, depth: int = 4, rate: float = 0.2, least: int = 5, l2: float = 1.0) -> Trees:
-    """Boosted trees for labels 0 and 1."""
+def grow(x: np.ndarray, y: np.ndarray, rates=None, trees: int = 60, depth: int = 4, rate: float = 0.2, least: int = 5, l2: float = 1.0, weight: np.ndarray | None = None) -> Trees:
+    """Boosted trees for labels 0 and 1; a row counts ``weight`` times, once by default."""
     n = len(y)
-    share = (y.sum() + 1.0) / (n + 2.0)
+    weight = np.ones(n) if weight is None else weight
+    share = ((weight * y).sum() + 1.0) / (weight.sum() + 2.0)
     model = Trees(float(np.log(share / (1 - share))), rate, rates or {"": (0.0, float(share))})
     if n == 0 or y.min() == y.max():
         return model
@@ -151,7 +173,7 @@ def grow(x: np.ndarray, y: np.ndarray, rates=None, trees: int = 60, depth: int =
     raw = np.full(n, model.base)
     for _ in range(trees):
         p = 1.0 / (1.0 + np.exp(-raw))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         size = 2 ** (depth + 1) - 1
         feature, cut, value = np.full(size, -1), np.zeros(size), np.zeros(size)
         at = np.zeros(n, dtype=np.int64)
@@ -186,15 +208,19 @@ def grow(x: np.ndarray, y: np.ndarray, rates=None, trees: int = 60, depth: int =
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", max_rows: int = 20_000, seed: int = 3) -> Trees:
-    """Fits on at most ``max_rows`` labelled URLs of each class (by hash of the URL)."""
+    """Fits on all labelled URLs' suffixes and ``max_rows`` URLs of each class (by hash of the URL)."""
     rows = labelled.select(column(labelled, url).cast("string").alias("url"), column(labelled, label).cast("int").alias("label")).where("url is not null and label in (0, 1)")
     order = F.xxhash64(F.lit(seed), "url")
+    counts = counted(rows)
+    total, ones = counts.get(None, (0, 0))
     got = [rows.where(F.col("label") == k).orderBy(order, "url").limit(max_rows).toPandas() for k in (0, 1)]
     urls = [*got[0]["url"], *got[1]["url"]]
     y = np.concatenate([np.zeros(len(got[0])), np.ones(len(got[1]))])
-    rates = suffix_rates(urls, y)
+    stands = [all_ / max(len(g), 1) for all_, g in zip((total - ones, ones), got)]
+    weight = np.repeat(stands, [len(g) for g in got])
+    rates = suffix_rates(counts)
     x = np.array([lexical(u, rates) for u in [*urls, ""]], dtype=np.float64)[:-1]
-    return grow(x, y, rates)
+    return grow(x, y, rates, weight=weight)
 
 
 def filter_urls(rows: DataFrame, model: Trees, url: str = "url", most: float = 0.5, keep: tuple[str, ...] | None = None) -> DataFrame:

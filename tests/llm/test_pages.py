@@ -88,3 +88,17 @@ def test_hard_urls(spark):
     out = U.filter_urls(table, model)
     assert out.columns == ["page_id", "url", "score", "keep"] and out.count() == 6
     assert U.filter_urls(table.limit(0), U.train(U.labelled_by_hosts(table.limit(0)))).count() == 0
+
+
+def test_decisions_do_not_follow_max_rows(spark):
+    """One kind of URL of which 30 % are unwanted, 4 % of the whole; the sample has them half and half."""
+    import itertools
+
+    names = ["".join(x) for x in itertools.islice(itertools.permutations("bcdfghjk"), 6000)]
+    rows = [(f"http://site.com/{x}" + ("/y-z?q=1" if i % 10 == 0 else ""), int(i % 10 == 0 and i // 10 % 10 < 3 or i % 100 == 1)) for i, x in enumerate(names)]
+    table = spark.createDataFrame(rows, "url string, label int")
+    whole, part = U.train(table), U.train(table, max_rows=200)
+    urls = [u for u, _ in rows]
+    assert ((whole.score(urls) < 0.5) == (part.score(urls) < 0.5)).all()
+    assert abs(whole.score(urls).mean() - part.score(urls).mean()) < 0.02
+    assert part.rates == whole.rates and part.rates["com"][0] == pytest.approx(np.log1p(6000))
