@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by_bucket, column, saved, scratch, tuned, ways
+from .frames import by_bucket, by_place, column, saved, scratch, tuned, ways
 from .textarrays import buffers, mix, ngrams, slices, unique_by_row, words
 
 N = 3
@@ -536,6 +536,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000, hot_rows: int = 500_000, tries: int = 1) -> DataFrame:
     """The groups of the exact join: see the module.  Only the result's table is kept."""
+    return members(docs, n, threshold, text, doc_id, broadcast_rows, hot_rows, tries).select("doc_id", "group_id", "partner_id", "jaccard")
+
+
+def members(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000, hot_rows: int = 500_000, tries: int = 1) -> DataFrame:
+    """The groups with ``tid``, the hash of the text that is meant, and ``head``.
+
+    The head of a group is one text of its least id: the one of the least hash.
+    """
     spark = tuned(docs.sparkSession)
     with scratch(spark):
         return saved(_groups(spark, docs, n, threshold, text, doc_id, broadcast_rows, hot_rows, tries), keep=True)
@@ -579,14 +587,16 @@ def _groups(spark, docs: DataFrame, n: int, threshold: float, text: str, doc_id:
     texts = ids.groupBy("tid").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.countDistinct("doc_id").alias("copies"))
     named = texts.join(comp, "tid", "left").join(other, "tid", "left").select("tid", "low", "high", "copies", F.coalesce("comp", "tid").alias("comp"), "mate", "jaccard")
     mates = named.join(texts.select(F.col("tid").alias("mate"), F.col("low").alias("mate_low")), "mate", "left")
-    heads = named.groupBy("comp").agg(F.min("low").alias("group_id"), F.sum("copies").alias("all"))
-    listed = mates.join(heads.where("`all` > 1"), "comp").select("tid", "low", "high", "group_id", "mate_low", "jaccard")
+    heads = named.groupBy("comp").agg(F.min("low").alias("group_id"), F.min(F.struct("low", "tid"))["tid"].alias("head_tid"), F.sum("copies").alias("all"))
+    listed = mates.join(heads.where("`all` > 1"), "comp").select("tid", "low", "high", "group_id", "head_tid", "mate_low", "jaccard")
     copied = F.col("low") != F.col("high")
     return ids.distinct().join(listed, "tid").select(
         "doc_id",
         "group_id",
         F.when(F.col("doc_id") != F.col("low"), F.col("low")).when(copied, F.col("high")).otherwise(F.col("mate_low")).alias("partner_id"),
         F.when(copied, 1.0).otherwise(F.col("jaccard")).alias("jaccard"),
+        "tid",
+        ((F.col("doc_id") == F.col("group_id")) & (F.col("tid") == F.col("head_tid"))).alias("head"),
     )
 
 
@@ -596,10 +606,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group only the document with the least id stays.
+    """Pipeline stage: of each group only one text of the least id stays.
 
-    Of rows that share that id the others stay too; rows without an id, and
-    documents in no group, all stay.
+    Rows go by id and text: where an id stands on several texts, those in no
+    group stay.  Rows that repeat the head, rows without an id, and documents
+    in no group, all stay.
     """
-    gone = groups(docs).where("doc_id != group_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    named, (doc_id, text) = by_place(docs, "doc_id", "text")
+    gone = members(named, doc_id=doc_id, text=text).where("not head").select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid"))
+    same = (column(named, doc_id).cast("long") == gone["__id"]) & (F.xxhash64(column(named, text).cast("string")) == gone["__tid"])
+    return named.join(gone, same, "left_anti").toDF(*docs.columns)

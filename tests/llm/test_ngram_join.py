@@ -105,3 +105,13 @@ def test_hard_tables(spark, hard_docs, empty_docs):
     kept = J.stage(spark, hard_docs, "")
     assert kept.columns == hard_docs.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 1, 1, 4, 5, 6, 7, 8, 9, 10]
+
+
+def test_stage_drops_by_id_and_text(spark):
+    """Ids on several texts: clean ones stay, near copies under the head's id go."""
+    body, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c"))
+    rows = [(1, body), (2, body + " tail"), (2, "clean text " + other), (3, third), (3, third + " tail"), (4, third), (None, None), (5, None)]
+    kept = [tuple(r) for r in J.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert [t for i, t in kept if i in (1, 2)] in ([body, "clean text " + other], ["clean text " + other, body])
+    assert len([t for i, t in kept if i in (3, 4)]) == 1 and 4 not in {i for i, _ in kept}
+    assert (None, None) in kept and (5, None) in kept and len(kept) == 5
