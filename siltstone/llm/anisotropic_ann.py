@@ -7,7 +7,9 @@ changes large inner products.  Codes are assigned by coordinate descent on the
 same loss.  A query makes a table of its products with all codewords, adds up
 the entries of each vector's codes (two subspaces at once: a byte of codes
 selects from 256 sums), and the best by this score are ranked again by exact
-products.
+products.  So is every other row whose score plus a bound of its residual's
+product reaches the k-th of these: within the visited cells the result is exact,
+however many rows are nearly alike.
 
 Every row is a query.  Rows fall into cells around pivot rows; a query visits
 the cells of the nearest pivots.  ``probe_share`` is the share of cells that it
@@ -133,35 +135,54 @@ def train(rows: DataFrame, dim: int, rounds: int = 4, start_rows: int = 2000, se
     return book
 
 
-def scan(queries: np.ndarray, codes: np.ndarray, book: np.ndarray, most: int) -> np.ndarray:
-    """Per query the rows with the best table scores, ``most`` of them or all."""
+def scores(q: np.ndarray, packed: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The table scores of all rows; ``packed`` holds their codes, two subspaces a number."""
     m = book.shape[0]
-    packed = (codes[:, 0::2].astype(np.intp) * CODES + codes[:, 1::2]).T.copy()
-    most = min(most, codes.shape[0])
-    out = np.empty((len(queries), most), dtype=np.int64)
-    for i, q in enumerate(queries):
-        table = np.einsum("mck,mk->mc", book, q.reshape(m, 2))
-        table = (table[0::2, :, None] + table[1::2, None, :]).reshape(m // 2, CODES * CODES)
-        score = table[0].take(packed[0])
-        for j in range(1, m // 2):
-            score += table[j].take(packed[j])
-        out[i] = np.argpartition(score, len(score) - most)[len(score) - most :]
-    return out
+    table = np.einsum("mck,mk->mc", book, q.reshape(m, 2))
+    table = (table[0::2, :, None] + table[1::2, None, :]).reshape(m // 2, CODES * CODES)
+    score = table[0].take(packed[0])
+    for j in range(1, m // 2):
+        score += table[j].take(packed[j])
+    return score
 
 
-def later(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which places hold an id that stands before in its row; ``ids`` are in rank order."""
-    order = np.argsort(ids, axis=1, kind="stable")
-    same = np.take_along_axis(ids, order, axis=1)
-    again = np.zeros(ids.shape, dtype=bool)
-    again[:, 1:] = same[:, 1:] == same[:, :-1]
-    out = np.zeros(ids.shape, dtype=bool)
-    np.put_along_axis(out, np.take_along_axis(places, order, axis=1), again, axis=1)
-    return out
+def residuals(x: np.ndarray, codes: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """By how much a unit query's product can exceed each row's score, rounding included."""
+    m = book.shape[0]
+    rest = np.linalg.norm(_pad(x).astype(np.float64) - book[np.arange(m), codes].reshape(len(x), -1), axis=1)
+    return rest + 2e-7 * (m + 8) * (rest + np.linalg.norm(x.astype(np.float64), axis=1))
+
+
+def nearest(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, score: np.ndarray, reach: np.ndarray, k: int, most: int, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact products of the ``k`` best ids; ``x`` is in order of ``ids``.
+
+    The k-th of the ``most`` best by score is what all others must be able to reach.
+    """
+
+    def ranked(found, least):
+        # not by BLAS: equal rows must have equal products wherever they stand
+        exact = np.einsum("ij,j->i", x[found], q)
+        ok = (ids[found] != own) & (exact >= least)
+        found, exact = found[ok], exact[ok]
+        best = np.argsort(-exact, kind="stable")
+        if repeats:
+            best = best[np.sort(np.unique(ids[found[best]], return_index=True)[1])]
+        return found[best[:k]], exact[best[:k]]
+
+    n = len(score)
+    if most >= n:
+        return ranked(np.arange(n), -np.inf)
+    first = ranked(np.sort(np.argpartition(score, n - most)[n - most :]), -np.inf)[1]
+    least = first[-1] if len(first) == k else -np.inf
+    # scores that overflowed say nothing
+    return ranked(np.flatnonzero(~((score + reach < least) & (score > -np.inf))), least)
 
 
 def search(vectors: DataFrame, k: int = 10, rerank: int = 200, cell_rows: int = 8192, query_rows: int = 4096, probe_share: float = 1.0, seed: int = 5) -> DataFrame:
-    """The ``k`` rows of largest inner product for every row."""
+    """The ``k`` rows of largest inner product for every row.
+
+    ``rerank`` rows are ranked exactly at first; it doesn't bound those that follow.
+    """
     spark = tuned(vectors.sparkSession)
     rows = clean(vectors)
     head = rows.limit(1).collect()
@@ -195,19 +216,16 @@ def search(vectors: DataFrame, k: int = 10, rerank: int = 200, cell_rows: int =
         b = b.take(pa.array(order))
         x, ids = matrix(b["embedding"]), b["vec_id"].to_numpy()
         codes = np.frombuffer(b"".join(b["codes"].to_pylist()), dtype=np.uint8).reshape(len(x), -1)
+        packed = (codes[:, 0::2].astype(np.intp) * CODES + codes[:, 1::2]).T.copy()
+        over, x = residuals(x, codes, book.value), x.astype(np.float64)
         # so many rows have at least ``rerank`` ids
         repeats = int(np.unique(ids, return_counts=True)[1].max())
-        found = np.sort(scan(_pad(q), codes, book.value, rerank * repeats), axis=1)
-        exact = np.stack([x[f].astype(np.float64) @ v.astype(np.float64) for f, v in zip(found, q)])
-        exact[ids[found] == own[:, None]] = -np.inf
-        best = np.argsort(-exact, axis=1, kind="stable")
-        if repeats > 1:
-            exact[later(np.take_along_axis(ids[found], best, axis=1), best)] = -np.inf
-            best = np.argsort(-exact, axis=1, kind="stable")
-        best = best[:, :k]
-        score = np.take_along_axis(exact, best, axis=1)
-        ok = np.isfinite(score).ravel()
-        return pa.table({"vec_id": np.repeat(own, best.shape[1])[ok], "neighbor_id": ids[np.take_along_axis(found, best, axis=1)].ravel()[ok], "score": score.ravel()[ok]})
+        places, products = [], []
+        for v, padded, i in zip(q.astype(np.float64), _pad(q), own):
+            place, product = nearest(v, i, x, ids, scores(padded, packed, book.value), over * np.linalg.norm(v), k, rerank * repeats, repeats > 1)
+            places.append(place)
+            products.append(product)
+        return pa.table({"vec_id": np.repeat(own, [len(p) for p in places]), "neighbor_id": ids[np.concatenate(places)], "score": np.concatenate(products)})
 
     met = asks.groupBy("cell", "block").cogroup(data.groupBy("cell", "block")).applyInArrow(meet, RESULT)
     once = met.groupBy("vec_id", "neighbor_id").agg(F.max("score").alias("score"))

@@ -59,6 +59,25 @@ def test_recall(spark, clustered):
     assert all(abs(r["score"] - product[r["vec_id"], r["neighbor_id"]]) < 1e-4 for v in got.values() for r in v)
 
 
+def test_groups_larger_than_the_first_candidates(spark):
+    """500 and 2,000 near copies, and 400 exact ones, whose ties go to the smaller ids."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3100, 64))
+    x[:500] = x[0] + 0.1 * x[:500]
+    x[500:2500] = x[500] + 0.3 * x[500:2500]
+    x[2500:2900] = x[2500]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    product = np.einsum("ij,kj->ik", x.astype(np.float64), x.astype(np.float64))
+    np.fill_diagonal(product, -np.inf)
+    true = np.argsort(-product, axis=1, kind="stable")[:, :10]
+    got = np.full((3100, 10), -1)
+    for r in A.search(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA), query_rows=1000).collect():
+        got[r["vec_id"], r["rank"] - 1] = r["neighbor_id"]
+    hits = np.array([len(set(a) & set(b)) for a, b in zip(got.tolist(), true.tolist())])
+    assert hits[:2500].mean() >= 9.99 and hits[2900:].mean() >= 9.99
+    assert all(g == [j for j in range(2500, 2511) if j != i][:10] for i, g in zip(range(2500, 2900), got[2500:2900].tolist()))
+
+
 def test_recall_over_the_embeddings(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     x = np.stack(rows.orderBy("vec_id").toPandas()["embedding"].to_numpy()).astype(np.float64)
