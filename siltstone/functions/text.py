@@ -26,14 +26,16 @@ def tokens(text: Column) -> Column:
 
 @cache
 def _kinds() -> tuple[re.Pattern, str]:
-    """Python's pattern of runs, and a Java character class of the letters and
-    digits that compatibility normalisation changes."""
+    """Python's pattern of runs, and the letters and digits that are folded in
+    Python: those that compatibility normalisation changes or composes, and the
+    two whose lower case Java takes from their context."""
     letters, digits, changed = [], [], []
     for cp in range(sys.maxunicode + 1):
         kind = unicodedata.category(chr(cp))
         if kind[0] == "L" or kind == "Nd":
             (letters if kind[0] == "L" else digits).append(cp)
-            if cp > 127 and unicodedata.normalize("NFKC", chr(cp)) != chr(cp):
+            jamo = 0x1100 <= cp <= 0x11FF
+            if cp > 127 and (jamo or chr(cp) in "\u0130\u03a3" or unicodedata.normalize("NFKC", chr(cp)) != chr(cp)):
                 changed.append(cp)
 
     def ranges(points: list[int], form: str) -> str:
@@ -45,12 +47,12 @@ def _kinds() -> tuple[re.Pattern, str]:
         return "".join(out)
 
     run = re.compile(f"[{ranges(letters, chr(92) + 'U{:08x}')}]+|[{ranges(digits, chr(92) + 'U{:08x}')}]+")
-    return run, "[" + ranges(changed, "\\x{{{:x}}}") + "]"
+    return run, "".join(map(chr, changed))
 
 
 def fold(run: str) -> str:
-    """A run's term: compatibility form, then lower case."""
-    return run.lower() if run.isascii() else unicodedata.normalize("NFKC", run).lower()
+    """A run's term: compatibility form, then lower case, letter by letter."""
+    return run.lower() if run.isascii() else "".join(c.lower()[0] for c in unicodedata.normalize("NFKC", run))
 
 
 def runs(text: str) -> list[tuple[str, int, int]]:
@@ -72,8 +74,11 @@ def runs(text: str) -> list[tuple[str, int, int]]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def folded_tokens(text: pd.Series) -> pd.Series:
-    """Terms with compatibility folding."""
-    return text.map(lambda t: [] if t is None else [r[0] for r in runs(t)])
+    """Terms with compatibility folding; null for null."""
+    out = pd.Series([None] * len(text), dtype=object)
+    for i in text.notna().to_numpy().nonzero()[0]:
+        out.iat[i] = [r[0] for r in runs(text.iat[i])]
+    return out
 
 
 @F.pandas_udf(OFFSETS)
@@ -82,15 +87,27 @@ def tokens_with_offsets(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [] if t is None else [{"text": a, "start": b, "end": c} for a, b, c in runs(t)])
 
 
+#: Letters up to U+0131 but for three aren't folded: most texts need no further test.
+_BEYOND = "[\u00aa\u00ba\u0130\u0132-\U0010ffff]"
+
+
+def folds(text: Column) -> Column:
+    """Whether a text has letters or digits that are folded in Python.
+
+    A small class first; texts with anything beyond it are then translated by a
+    table, a look-up a character, whatever their script.
+    """
+    return text.rlike(_BEYOND) & (F.translate(text, _kinds()[1], "") != text)
+
+
 def tokenized(docs: DataFrame, text: str = "text", into: str = "tokens") -> DataFrame:
-    """Adds the terms of each row; null texts have none.
+    """Adds the terms of each row, in one scan; null texts have none.
 
-    Texts without letters that compatibility folding changes, nearly all, stay
-    in the JVM; only the others go through Python.
+    Texts without letters that are folded in Python, nearly all, are tokenized
+    in the JVM: Python gets a null in their place.
     """
-    special = F.coalesce(F.col(text), F.lit("")).rlike(_kinds()[1])
-    plain = docs.where(~special).withColumn(into, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")))
-    return plain.unionByName(docs.where(special).withColumn(into, folded_tokens(F.col(text))))
+    body = F.col(text)
+    return docs.withColumn(into, folded_tokens(F.when(folds(body), body))).withColumn(into, F.coalesce(into, tokens(body), F.array().cast("array<string>")))
 
 
 def trimmed(text: Column) -> Column:

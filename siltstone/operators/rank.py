@@ -109,12 +109,9 @@ def with_phrase(docs: DataFrame, phrase: str) -> DataFrame:
     terms = [t for t, _, _ in runs(phrase)]
     if not terms:
         return docs.select("doc_id").limit(0)
-    held = tokenized(docs.select("doc_id", "text"))
-    n = len(terms)
-    want = F.array(*map(F.lit, terms))
-    at = F.sequence(F.lit(1), F.size("tokens") - F.lit(n - 1))
-    found = (F.size("tokens") >= n) & F.arrays_overlap(F.slice("tokens", 1, F.size("tokens")), F.array(F.lit(terms[0])))
-    return held.where(found).where(F.exists(at, lambda p: (F.element_at("tokens", p) == F.lit(terms[0])) & (F.slice("tokens", p, n) == want))).select("doc_id")
+    # terms have no line feeds, so a run of terms is a substring of the joined list
+    held = F.concat(F.lit("\n"), F.array_join("tokens", "\n"), F.lit("\n"))
+    return tokenized(docs.select("doc_id", "text")).where(held.contains("\n" + "\n".join(terms) + "\n")).select("doc_id")
 
 
 def with_phrase_index(index, phrase: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.language import LEAST, detected
 from ..functions.text import content_hash, duration, origin, paragraphs, passage_id, tokenized, tokens_with_offsets
 from ..functions.urls import canonical_url
 from ..operators import crawl, dedup, evaluate, hybrid, index, rank, snippet, vector
+from ..session import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,7 +42,11 @@ def register(name: str, sql: str | None = None):
 
 
 def docs_of(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def pages_of(spark, d) -> DataFrame:
+    return spread(table(spark, d, "pages"))
 
 
 def deleted_of(spark, d) -> DataFrame:
@@ -120,7 +125,7 @@ def host_of(spark, d):
     SELECT page_id, regexp_extract(u, '^[^?]*', 0) || CASE WHEN contains(u, '?') THEN '?' || array_to_string(list_sort(string_split(regexp_extract(u, '[?](.*)$', 1), '&')), '&') ELSE '' END AS canonical FROM u""",
 )
 def url_canonical(spark, d):
-    return table(spark, d, "pages").select("page_id", canonical_url("url").alias("canonical"))
+    return pages_of(spark, d).select("page_id", canonical_url("url").alias("canonical"))
 
 
 # ---- index -----------------------------------------------------------------
@@ -464,12 +469,12 @@ def robots_policy(spark, d):
 
 @register("link_discovery")
 def link_discovery(spark, d):
-    return crawl.discovered(table(spark, d, "pages"))
+    return crawl.discovered(pages_of(spark, d))
 
 
 @register("passage_extract")
 def passage_extract(spark, d):
-    return crawl.extracted(table(spark, d, "pages"), html.Extractors(default=_article))
+    return crawl.extracted(pages_of(spark, d), html.Extractors(default=_article))
 
 
 def _article(page: str, url: str) -> list[dict]:

@@ -46,6 +46,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores, dealt out to all of them.
+
+    For work on texts, which costs far more than moving them.  Tables in as
+    many pieces or more, all large ones, stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def with_package(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(run)
     def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
