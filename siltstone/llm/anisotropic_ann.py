@@ -11,18 +11,24 @@ products.  So is every other row whose score plus a bound of its residual's
 product reaches the k-th of these: within the visited cells the result is exact,
 however many rows are nearly alike.
 
-Every row is a query.  Rows fall into cells around pivot rows; a query visits
-the cells of the nearest pivots.  ``probe_share`` is the share of cells that it
-visits.  It is 1 by default, since the vectors of these tables have no clusters
-(their nearest neighbours are at a cosine of about 0.4) and recall would fall
-under 0.9 with less; clustered embeddings keep their recall with a small share.
-
-Scale: the codebook is fitted on all rows; each round is one pass that returns
-sums of a fixed size.  Rows meet in tasks of one cell and one tile of queries.
+The registered query asks for every row whose id is divisible by 100, against
+all rows.  Rows fall into cells around pivot rows; a query visits the cells of
+the nearest pivots.  ``probe_share`` is the share of cells that it visits.  It
+is 1 by default (no cells are made), since the vectors of these tables have no
+clusters (their nearest neighbours are at a cosine of about 0.4) and recall
+would fall under 0.9 with less; clustered embeddings keep theirs with a share.
+
+Scale: codebook and pivots are fitted on a sample of ``fit_rows`` rows; all
+rows are indexed, once, in the shared folder.  Queries are taken in blocks of
+about ``query_rows``, which are broadcast, a bounded size; each block is a scan
+of the index in which a task keeps the k best of each query, so vectors are
+never shuffled, only results are.  With cells, rows are sorted by cell: a cell
+may be of any size, as no task gathers one.
 
 Defined results
 ---------------
 * Rows left out: see ``vectors.clean``.
+* ``queries``, an SQL condition, says which rows ask; without it all do.
 * A row isn't its own neighbour, nor is any row with its id.  Repeated ids are
   answered once, with their first best; ties go to the smaller id.
 * Result: ``vec_id, neighbor_id, rank`` (from 1) ``, score``, the exact inner
@@ -37,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import tuned
-from .vectors import clean, matrix, tiles
+from .frames import saved, scratch, tuned
+from .vectors import cleaned, matrix
 
 CODES = 16
 RESULT = "vec_id long, neighbor_id long, score double"
@@ -104,34 +110,16 @@ def update(book: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return np.where(ok[:, None], new, book.reshape(-1, 2)).reshape(book.shape).astype(np.float32)
 
 
-def train(rows: DataFrame, dim: int, rounds: int = 4, start_rows: int = 2000, seed: int = 5) -> np.ndarray:
-    """The codebook (subspaces, 16, 2), fitted on all rows.
-
-    The first codewords are values of ``start_rows`` rows by hash of their id;
-    each round then sums over every row.
-    """
-    first = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(start_rows).toPandas()
-    x = _pad(np.stack(first["embedding"].to_numpy()))
+def train(x: np.ndarray, rounds: int = 4, seed: int = 5) -> np.ndarray:
+    """The codebook (subspaces, 16, 2), fitted on the sample's rows."""
+    weight = parallel_weight(x.shape[1])
+    x = _pad(x)
     m = x.shape[1] // 2
     rng = np.random.default_rng(seed)
     parts = x.reshape(len(x), m, 2)
     book = np.stack([parts[rng.choice(len(x), CODES, replace=len(x) < CODES), j] for j in range(m)])
-    weight = parallel_weight(dim)
-    for _ in range(5):
-        book = update(book, statistics(x, book, 1.0))
-    for _ in range(rounds):
-        now = book
-
-        def run(batches):
-            total = 0.0
-            for batch in batches:
-                if len(batch):
-                    total = total + statistics(_pad(matrix(batch.column(0))), now, weight)
-            if not np.isscalar(total):
-                yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]}, schema=pa.schema([("sums", pa.binary())]))
-
-        got = rows.select("embedding").mapInArrow(run, "sums binary").collect()
-        book = update(book, sum(np.frombuffer(r["sums"]).reshape(-1, 6) for r in got))
+    for k in range(5 + rounds):
+        book = update(book, statistics(x, book, 1.0 if k < 5 else weight))
     return book
 
 
@@ -153,8 +141,9 @@ def residuals(x: np.ndarray, codes: np.ndarray, book: np.ndarray) -> np.ndarray:
     return rest + 2e-7 * (m + 8) * (rest + np.linalg.norm(x.astype(np.float64), axis=1))
 
 
-def nearest(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, score: np.ndarray, reach: np.ndarray, k: int, most: int, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places and exact products of the ``k`` best ids; ``x`` is in order of ``ids``.
+def nearest(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, score: np.ndarray, reach: np.ndarray, k: int, most: int, repeats: bool, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact products of the ``k`` best ids of those that reach ``least``;
+    ``x`` is in order of ``ids``.
 
     The k-th of the ``most`` best by score is what all others must be able to reach.
     """
@@ -170,69 +159,122 @@ def nearest(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, score: np.n
         return found[best[:k]], exact[best[:k]]
 
     n = len(score)
-    if most >= n:
-        return ranked(np.arange(n), -np.inf)
-    first = ranked(np.sort(np.argpartition(score, n - most)[n - most :]), -np.inf)[1]
-    least = first[-1] if len(first) == k else -np.inf
+    if least == -np.inf:
+        if most >= n:
+            return ranked(np.arange(n), -np.inf)
+        first = ranked(np.sort(np.argpartition(score, n - most)[n - most :]), -np.inf)[1]
+        least = first[-1] if len(first) == k else -np.inf
     # scores that overflowed say nothing
     return ranked(np.flatnonzero(~((score + reach < least) & (score > -np.inf))), least)
 
 
-def search(vectors: DataFrame, k: int = 10, rerank: int = 200, cell_rows: int = 8192, query_rows: int = 4096, probe_share: float = 1.0, seed: int = 5) -> DataFrame:
-    """The ``k`` rows of largest inner product for every row.
+def build(rows: DataFrame, book: np.ndarray, pivots: np.ndarray | None = None) -> DataFrame:
+    """The index of all rows: ``vec_id, embedding, codes`` (two a byte) ``, reach, cell``."""
+    held = rows.sparkSession.sparkContext.broadcast((book, pivots))
+    weight = parallel_weight(pivots.shape[1] if pivots is not None else 2 * len(book))
+
+    def run(batches):
+        book, pivots = held.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = matrix(batch.column(1))
+            codes = assign(_pad(x), book, weight)
+            cell = np.zeros(len(x), np.int64) if pivots is None else (x @ pivots.T).argmax(axis=1)
+            packed = codes[:, 0::2] * CODES + codes[:, 1::2]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(residuals(x, codes, book)), pa.array(cell.astype(np.int32))], names=["vec_id", "embedding", "codes", "reach", "cell"])
+
+    index = rows.mapInArrow(run, "vec_id long, embedding array<float>, codes binary, reach double, cell int")
+    return index if pivots is None else index.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id")
+
+
+def scan(index: DataFrame, own: np.ndarray, q: np.ndarray, book: np.ndarray, k: int, rerank: int, visits: np.ndarray | None = None) -> DataFrame:
+    """``vec_id, neighbor_id, score``: each task's k best of every query of a block.
+
+    ``visits`` has a row of cells for each query; without it all rows are seen.
+    """
+    held = index.sparkSession.sparkContext.broadcast((own, q, book, visits))
+
+    def run(batches):
+        own, q, book, visits = held.value
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
+        exact, padded, norm = q.astype(np.float64), _pad(q), np.linalg.norm(q.astype(np.float64), axis=1)
+        for batch in batches:
+            cell = batch.column(4).to_numpy()
+            for c in np.unique(cell):
+                order = np.flatnonzero(cell == c)
+                order = order[np.argsort(batch.column(0).to_numpy()[order], kind="stable")]
+                b = batch.take(pa.array(order))
+                x, ids, reach = matrix(b.column(1)).astype(np.float64), b.column(0).to_numpy(), b.column(3).to_numpy()
+                packed = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(len(x), -1).T.astype(np.intp)
+                # so many rows have at least ``rerank`` ids
+                repeats = int(np.unique(ids, return_counts=True)[1].max())
+                for i in range(len(own)) if visits is None else np.flatnonzero((visits == c).any(axis=1)):
+                    had, product = best[i]
+                    place, found = nearest(exact[i], own[i], x, ids, scores(padded[i], packed, book), reach * norm[i], k, rerank * repeats, repeats > 1, product[-1] if len(had) == k else -np.inf)
+                    if len(place):
+                        both, product = np.concatenate([had, ids[place]]), np.concatenate([product, found])
+                        by = np.lexsort((both, -product))
+                        by = by[np.sort(np.unique(both[by], return_index=True)[1])][:k]
+                        best[i] = both[by], product[by]
+        sizes = [len(b[0]) for b in best]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["vec_id", "neighbor_id", "score"])
+
+    return index.mapInArrow(run, RESULT)
+
+
+def search(vectors: DataFrame, k: int = 10, rerank: int = 200, cell_rows: int = 8192, query_rows: int = 32_768, probe_share: float = 1.0, seed: int = 5, queries: str | None = None, fit_rows: int = 10_000, max_cells: int = 4096) -> DataFrame:
+    """The ``k`` rows of largest inner product for the rows that ask.
 
     ``rerank`` rows are ranked exactly at first; it doesn't bound those that follow.
     """
     spark = tuned(vectors.sparkSession)
-    rows = clean(vectors)
-    head = rows.limit(1).collect()
-    if not head:
+    rows, dim, n = cleaned(vectors)
+    if not n:
         return spark.createDataFrame([], "vec_id long, neighbor_id long, rank int, score double")
-    dim = len(head[0]["embedding"])
-    book = spark.sparkContext.broadcast(train(rows, dim, seed=seed))
-    weight = parallel_weight(dim)
-    n = rows.count()
-    cells, blocks = tiles(n, cell_rows), tiles(n, query_rows)
-    visits = max(1, min(cells, int(np.ceil(cells * probe_share))))
-    pivots = spark.sparkContext.broadcast(np.stack([np.array(r["embedding"], dtype=np.float32) for r in rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(cells).collect()]))
-
-    def place(batches):
-        for batch in batches:
-            x = matrix(batch.column(1))
-            near = np.argsort(-(x @ pivots.value.T), axis=1, kind="stable") if len(x) else np.zeros((0, 1), int)
-            codes = assign(_pad(x), book.value, weight) if len(x) else np.zeros((0, 0), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(near[:, 0].astype(np.int32)), pa.array(list(near[:, :visits].astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "embedding", "codes", "cell", "visits"])
-
-    placed = rows.mapInArrow(place, "vec_id long, embedding array<float>, codes binary, cell int, visits array<int>")
-    block = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("int")
-    asks = placed.select(F.explode("visits").alias("cell"), block.alias("block"), "vec_id", "embedding")
-    data = placed.select("cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding", "codes")
-
-    def meet(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"vec_id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, own = matrix(a["embedding"]), a["vec_id"].to_numpy()
-        order = np.argsort(b["vec_id"].to_numpy(), kind="stable")
-        b = b.take(pa.array(order))
-        x, ids = matrix(b["embedding"]), b["vec_id"].to_numpy()
-        codes = np.frombuffer(b"".join(b["codes"].to_pylist()), dtype=np.uint8).reshape(len(x), -1)
-        packed = (codes[:, 0::2].astype(np.intp) * CODES + codes[:, 1::2]).T.copy()
-        over, x = residuals(x, codes, book.value), x.astype(np.float64)
-        # so many rows have at least ``rerank`` ids
-        repeats = int(np.unique(ids, return_counts=True)[1].max())
-        places, products = [], []
-        for v, padded, i in zip(q.astype(np.float64), _pad(q), own):
-            place, product = nearest(v, i, x, ids, scores(padded, packed, book.value), over * np.linalg.norm(v), k, rerank * repeats, repeats > 1)
-            places.append(place)
-            products.append(product)
-        return pa.table({"vec_id": np.repeat(own, [len(p) for p in places]), "neighbor_id": ids[np.concatenate(places)], "score": np.concatenate(products)})
-
-    met = asks.groupBy("cell", "block").cogroup(data.groupBy("cell", "block")).applyInArrow(meet, RESULT)
-    once = met.groupBy("vec_id", "neighbor_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "neighbor_id", "rank", F.round("score", 6).alias("score"))
+    # by chance, not by hash of the row: equal rows mustn't be taken all at once
+    draw = rows if n <= fit_rows else rows.where(F.rand(seed) < fit_rows / n).limit(2 * fit_rows)
+    sample = np.stack(draw.toPandas().sort_values("vec_id", kind="stable")["embedding"].to_numpy()).astype(np.float32)
+    book, pivots = train(sample, seed=seed), None
+    if probe_share < 1:
+        chosen = np.random.default_rng(seed).permutation(len(sample))
+        pivots = sample[chosen[: max(1, min(max_cells, -(-n // cell_rows)))]]
+    asking = rows.where(queries) if queries else rows
+    blocks = max(1, -(-asking.count() // query_rows))
+    block = F.pmod(F.xxhash64(F.lit(seed), "vec_id", "embedding"), F.lit(blocks))
+    parts = []
+    with scratch(spark):
+        index = saved(build(rows, book, pivots))
+        for b in range(blocks):
+            got = asking.where(block == b).distinct().toPandas()
+            if not len(got):
+                continue
+            q = np.stack(got["embedding"].to_numpy()).astype(np.float32)
+            visits = None
+            if pivots is not None:
+                visits = np.argsort(-(q @ pivots.T), axis=1, kind="stable")[:, : max(1, int(np.ceil(len(pivots) * probe_share)))]
+            met = scan(index, got["vec_id"].to_numpy(dtype=np.int64), q, book, k, rerank, visits)
+            once = met.groupBy("vec_id", "neighbor_id").agg(F.max("score").alias("score"))
+            order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id")
+            parts.append(saved(once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), keep=True))
+    found = parts[0] if parts else spark.createDataFrame([], "vec_id long, neighbor_id long, score double, rank int")
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    if len(parts) > 1:  # the rows of an id may be of several blocks
+        once = found.groupBy("vec_id", "neighbor_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id")
+        found = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("vec_id", "neighbor_id", "rank", F.round("score", 6).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Ten nearest neighbours of every embedding."""
-    return search(tuned(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """Ten nearest neighbours, among all embeddings, of those whose id is divisible by 100."""
+    return search(tuned(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), queries="vec_id % 100 = 0")
+
+
+SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    p AS (SELECT q.vec_id, v.vec_id AS neighbor_id, list_dot_product(q.e, v.e) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT vec_id, neighbor_id, rank::INT AS rank, round(score, 6) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbor_id) AS rank FROM p) WHERE rank <= 10"""

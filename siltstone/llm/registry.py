@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.query,
     "op3_anisotropic_ann": anisotropic_ann.query,
     "op4_embedding_dedup": embedding_dedup.query,
-    "embedding_pairs_loose": embedding_dedup.loose_query,
+    "embedding_links_loose": embedding_dedup.loose_query,
     "op5_language_id": language_id.query,
     "op6_url_filter": url_filter.query,
     "op8_html_text": html_text.query,
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_anisotropic_ann": anisotropic_ann.SQL,
     "op4_embedding_dedup": embedding_dedup.sql(embedding_dedup.THRESHOLD),
-    "embedding_pairs_loose": embedding_dedup.sql(0.4),
+    "embedding_links_loose": embedding_dedup.sql(0.4),
 }

@@ -21,15 +21,42 @@ def hard_vectors(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.9, 0.99])
-def test_pairs_match_brute_force(clustered, threshold):
-    x, rows = clustered
+def brute_links(x, threshold):
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    i, j = np.nonzero(np.triu(u @ u.T >= threshold, 1))
-    got = E.pairs(rows, threshold, tile_rows=100).collect()
-    assert {(r["id_a"], r["id_b"]) for r in got} == set(zip(i.tolist(), j.tolist()))
-    assert all(abs(r["similarity"] - u[r["id_a"]] @ u[r["id_b"]]) < 6e-5 for r in got)
+    near = u @ u.T >= threshold
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    while True:
+        low = np.minimum(root, np.where(near, root[None, :], len(x)).min(axis=1))
+        if (low == root).all():
+            return root, near.sum(axis=1)
+        root = low
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.9, 0.99])
+def test_links_match_brute_force(clustered, threshold):
+    x, rows = clustered
+    root, n = brute_links(x, threshold)
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in E.links(rows, threshold, tile_rows=100).collect()}
+    assert got == {i: (root[i], n[i]) for i in range(len(x))}
+
+
+def test_a_third_of_equal_rows_and_a_third_of_near_ones(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 16))
+    x[:300] = x[0]
+    x[300:600] = x[300] + 0.05 * x[300:600]
+    x = x.astype(np.float32)
+    root, n = brute_links(x, 0.9)
+    out = E.links(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA), tile_rows=128)
+    assert {r["vec_id"]: (r["class_id"], r["links"]) for r in out.collect()} == {i: (root[i], n[i]) for i in range(900)}
+    assert n[0] >= 299 and n[300] >= 290
+
+
+def test_unite_joins_what_is_linked():
+    i, j = np.array([5, 4, 1, 3]), np.array([4, 3, 2, 5])
+    assert E.unite(np.arange(7), i, j).tolist() == [0, 1, 1, 3, 3, 3, 6]
 
 
 def test_bounds_are_rigorous():
@@ -40,9 +67,10 @@ def test_bounds_are_rigorous():
     assert (bound >= u @ u.T - 1e-12).all()
 
 
-def test_hard_pairs(hard_vectors):
-    assert sorted(tuple(r)[:2] for r in E.pairs(hard_vectors).collect()) == [(1, 2)]
-    assert E.pairs(hard_vectors.limit(0)).count() == 0
+def test_hard_links(hard_vectors):
+    got = sorted(tuple(r) for r in E.links(hard_vectors).collect())
+    assert got == [(1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (7, 7, 0), (8, 8, 0), (9, 9, 0)]
+    assert E.links(hard_vectors.limit(0)).count() == 0
 
 
 def test_recall(spark, clustered):
@@ -79,15 +107,30 @@ def test_groups_larger_than_the_first_candidates(spark):
 
 
 def test_recall_over_the_embeddings(spark):
+    """Every query of the registered search against brute force."""
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     x = np.stack(rows.orderBy("vec_id").toPandas()["embedding"].to_numpy()).astype(np.float64)
     product = x @ x.T
     np.fill_diagonal(product, -np.inf)
     true = np.argsort(-product, axis=1)[:, :10]
-    hits = np.zeros(len(x))
-    for r in A.search(rows).collect():
-        hits[r["vec_id"]] += r["neighbor_id"] in true[r["vec_id"]]
-    assert hits.mean() >= 9.0
+    got = A.query(spark, "/root/testdata/sf0.1").collect()
+    assert {r["vec_id"] for r in got} == set(range(0, 2000, 100)) and len(got) == 200
+    assert np.mean([r["neighbor_id"] in true[r["vec_id"]] for r in got]) >= 0.9
+
+
+def test_cells_and_blocks(spark, clustered):
+    """Queries in several blocks; a share of the cells, whose hits fall with it."""
+    x, rows = clustered
+    product = x.astype(np.float64) @ x.T
+    np.fill_diagonal(product, -np.inf)
+    true = np.argsort(-product, axis=1)[:, :10]
+
+    def recall(share):
+        got = A.search(rows, cell_rows=40, query_rows=30, probe_share=share, queries="vec_id % 10 = 0").collect()
+        assert {r["vec_id"] for r in got} <= set(range(0, 700, 10))
+        return np.mean([r["neighbor_id"] in true[r["vec_id"]] for r in got]) if len(got) == 700 else 0
+
+    assert recall(1.0) == 1.0 and recall(0.99) >= 0.99 and recall(0.5) >= 0.8
 
 
 def test_anisotropic_codes_lose_less_along_the_vector():
