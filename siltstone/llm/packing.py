@@ -12,7 +12,10 @@ without one.  If none is found a bin is opened.
 
 Scale: rows are hashed into groups of about ``group_rows`` rows, packed apart;
 only ids, lengths and keys are shuffled, never texts.  A group costs one
-partly filled tail.
+partly filled tail.  In the pipeline the groups are stretches of the mix's
+shards, and the bins of a group are numbered by the first place in the mix of
+what they hold, so that sequences read in order keep the mix.  ``sequences``
+joins the texts to their bins.
 
 Defined results
 ---------------
@@ -34,10 +37,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import column, tuned
+from ..session import spread
+from . import mixing
+from .frames import by_place, column, saved, scratch, tuned
+from .textarrays import SPACE, buffers, slices
 
 RESULT = "doc_id long, part int, start_token long, n_tokens int, pack_group int, bin int, position int"
 
@@ -116,7 +123,10 @@ def _shared(codes: np.ndarray) -> list[int]:
 
 
 def pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Packs one group: columns ``doc_id, source, cluster, n`` to the result's."""
+    """Packs one group: columns ``doc_id, source, cluster, n`` to the result's.
+
+    With a column ``at``, the place in the mix, bins are numbered by their least.
+    """
     pdf = pdf.sort_values(["n", "doc_id", "cluster", "source"], ascending=[False, True, True, True], na_position="first", kind="stable").reset_index(drop=True)
     n = pdf["n"].to_numpy(dtype=np.int64)
     whole = n // capacity
@@ -131,38 +141,98 @@ def pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     opened = int(bins.max(initial=-1)) + 1
     row = np.concatenate([full, tails])
     out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[row], "part": np.concatenate([part, whole[tails]]), "start_token": np.concatenate([part, whole[tails]]) * capacity, "n_tokens": np.concatenate([np.full(len(full), capacity), rest[tails]]), "bin": np.concatenate([opened + np.arange(len(full)), bins])})
+    for name in ("tid", "at"):
+        if name in pdf:
+            out[name] = pdf[name].to_numpy()[row]
+    if "at" in out and len(out):
+        first = out.groupby("bin")["at"].transform("min")
+        out["bin"] = pd.MultiIndex.from_arrays([first, out["bin"]]).factorize(sort=True)[0]
     out["position"] = out.groupby("bin").cumcount()
     return out
 
 
-def tokens(text):
-    """Number of maximal runs that aren't white space; 0 for null."""
-    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.coalesce(F.when(plain == "", 0).otherwise(F.size(F.split(plain, " "))), F.lit(0)).cast("long")
+def counted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", cluster: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, cluster, tid, n`` of every row: texts' hashes and token counts, no texts."""
+    body = column(docs, text).cast("string")
+    kin = column(docs, cluster).cast("string") if cluster else F.xxhash64(body).cast("string")
+    rows = docs.select(column(docs, doc_id).cast("long").alias("doc_id"), column(docs, source).cast("string").alias("source"), kin.alias("cluster"), F.xxhash64(body).alias("tid"), *[F.col(c) for c in more], body.alias("text"))
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[:-1])
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = buffers(batch.column(batch.num_columns - 1))
+            n = np.zeros(len(batch), np.int64)
+            for i, j in slices(offsets):
+                part = ~SPACE[data[offsets[i] : offsets[j]]]
+                at = offsets[i:j] - offsets[i]
+                begins = part.copy()
+                begins[1:] &= ~part[:-1]
+                some = at < len(part)
+                begins[at[some]] = part[at[some]]
+                sums = np.concatenate([[0], np.cumsum(begins)])
+                n[i:j] = np.diff(sums[offsets[i : j + 1] - offsets[i]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names=[*batch.schema.names[:-1], "n"])
+
+    return rows.mapInArrow(run, f"{kinds}, n long")
+
+
+def _pack(rows: DataFrame, capacity: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Packs counted rows by their column ``pack_group``."""
+    names = [x.split()[0] for x in RESULT.split(", ")] + list(keep)
+
+    def run(key, pdf):
+        out = pack_group(pdf, capacity)
+        out["pack_group"] = key[0]
+        return out[names]
+
+    return rows.where("n > 0").groupBy("pack_group").applyInPandas(run, RESULT + "".join(f", {c} long" for c in keep))
+
+
+def _grouped(rows: DataFrame, n: int, group_rows: int) -> DataFrame:
+    groups = max(1, math.ceil(n / group_rows))
+    return rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)).cast("int"))
 
 
 def pack(docs: DataFrame, capacity: int = 2048, group_rows: int = 20_000, cluster: str | None = None, text: str = "text", source: str = "source") -> DataFrame:
     """The place of every document, or part of one, in packed sequences."""
-    spark = tuned(docs.sparkSession)
-    body = column(docs, text).cast("string")
-    kin = column(docs, cluster).cast("string") if cluster else F.xxhash64(body).cast("string")
-    rows = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, source).cast("string").alias("source"), kin.alias("cluster"), tokens(body).alias("n"))
-    groups = max(1, math.ceil(docs.count() / group_rows))
-    rows = rows.where("n > 0").withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)).cast("int"))
+    tuned(docs.sparkSession)
+    return _pack(_grouped(counted(docs, text, source=source, cluster=cluster), docs.count(), group_rows), capacity)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pack_group(pdf, capacity)
-        out["pack_group"] = key[0]
-        return out[["doc_id", "part", "start_token", "n_tokens", "pack_group", "bin", "position"]]
 
-    return rows.groupBy("pack_group").applyInPandas(run, RESULT)
+def sequences(docs: DataFrame, capacity: int = 2048, group_rows: int = 20_000, cluster: str | None = None, text: str = "text", source: str = "source") -> DataFrame:
+    """``pack_group, bin, position, doc_id, part, piece``: the packed texts themselves.
+
+    Texts are found by id and hash, so repeated ids get their own; rows that
+    are equal in both stand for each other.
+    """
+    tuned(docs.sparkSession)
+    placed = _pack(_grouped(counted(docs, text, source=source, cluster=cluster), docs.count(), group_rows), capacity, ("tid",))
+    body = column(docs, text).cast("string")
+    texts = docs.select(column(docs, "doc_id").cast("long").alias("__id"), F.xxhash64(body).alias("__tid"), body.alias("text")).dropDuplicates(["__id", "__tid"])
+    met = placed.join(texts, placed["doc_id"].eqNullSafe(texts["__id"]) & (placed["tid"] == texts["__tid"]))
+
+    runs = F.filter(F.split("text", r"\s+"), lambda t: t != "")
+    piece = F.array_join(F.slice(runs, F.col("start_token").cast("int") + 1, F.col("n_tokens")), " ")
+    return met.select("pack_group", "bin", "position", "doc_id", "part", piece.alias("piece"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    return pack(tuned(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spread(tuned(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")))
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packed sequences."""
-    return pack(docs)
+def stage(spark, docs: DataFrame, sf_dir: str, capacity: int = 2048, group_rows: int = 16_384) -> DataFrame:
+    """Pipeline stage: the packed sequences, in the order of the mix.
+
+    Where a document stands in the mix follows from its keys alone, so it is
+    found again from narrow rows.
+    """
+    tuned(spark)
+    named, (text, doc_id, source, n_chars) = by_place(docs, "text", "doc_id", "source", "n_chars")
+    keys = named.select("*", column(named, doc_id).alias("mix_id"), column(named, n_chars).alias("mix_chars"), column(named, source).cast("string").alias("mix_source"))
+    with scratch(spark):
+        rows = saved(counted(keys, text, doc_id, source, more=("mix_id", "mix_chars", "mix_source")))
+        mixed = mixing.mix(rows, source="mix_source", keys=("mix_id", "mix_chars"))
+        most = F.lit(math.ceil(mixing.SHARD_ROWS * 2 / group_rows))
+        at = mixed.withColumn("at", F.col("position").cast("long")).withColumn("pack_group", (F.col("shard") * most + F.least(F.floor(F.col("position") / group_rows), most - 1)).cast("int"))
+        return saved(_pack(at, capacity), keep=True)

@@ -63,3 +63,37 @@ def test_hard_tables(hard_docs, empty_docs):
     assert 4 not in ids and 5 not in ids and ids.count(None) == 1
     assert ids.count(1) == 2 and ids.count(8) == -(-240_002 // 2048)
     assert packing.pack(empty_docs).count() == 0
+
+
+def test_sequences_have_the_texts_of_repeated_ids(spark):
+    rng = random.Random(2)
+    rows = [(i % 40, " ".join(f"t{i}x{k}" for k in range(rng.choice([1, 5, 30, 100]))) + "\t end ", f"s{i % 3}") for i in range(80)] + [(None, "no id", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = packing.sequences(docs, capacity=32, group_rows=50).collect()
+    pieces = {}
+    for r in out:
+        pieces.setdefault(r["doc_id"], []).append(r["piece"])
+    for i in {r[0] for r in rows}:
+        assert sorted(" ".join(pieces[i]).split()) == sorted(w for j, t, _ in rows if j == i for w in t.split())
+    assert packing.sequences(docs.limit(0)).count() == 0
+
+
+def test_bins_of_the_stage_follow_the_mix(spark):
+    """Groups are stretches of a shard; bins are in the order of their first documents there."""
+    from siltstone.llm import mixing
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.choice([5, 60, 400, 900])) + f" {i}", f"s{i % 7}", i) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    place = {r["doc_id"]: (r["shard"], r["position"]) for r in mixing.mix(docs).collect()}
+    assert len({s for s, _ in place.values()}) > 1
+    firsts, group_of = {}, {}
+    for r in packing.stage(spark, mixing.stage(spark, docs, ""), "", group_rows=100).collect():
+        shard, at = place[r["doc_id"]]
+        group_of.setdefault(r["pack_group"], set()).add((shard, at // 100))
+        key = (r["pack_group"], r["bin"])
+        firsts[key] = min(firsts.get(key, at), at)
+    assert all(len(x) == 1 for x in group_of.values()) and len(group_of) >= 15
+    for g in group_of:
+        inside = [at for (group, _), at in sorted(firsts.items()) if group == g]
+        assert inside == sorted(inside)
