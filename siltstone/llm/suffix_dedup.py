@@ -47,7 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import by_bucket, by_place, column, partitions, saved, scratch, tuned
+from ..session import spread
+from .frames import by_bucket, by_place, column, joined, partitions, saved, scratch, tuned
 from .ngram_join import _batches, _bucket_of, _gathered, _spread
 from .textarrays import SPACE, _powers, buffers, mix, slices, words
 
@@ -101,7 +102,7 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, least: int):
     lead = np.minimum(chosen - begin, least - k)
     tail = np.minimum(end[chosen] - chosen, least)
     a, b = chosen - lead, chosen + tail
-    window = mix((prefix[b] - prefix[a]) * inverse[a] + (lead * 256 + tail).astype(U64))
+    window = mix((prefix[b] - prefix[a]) * inverse[a] + (lead * (1 << 20) + tail).astype(U64))
     owner = np.searchsorted(rows, chosen, side="right") - 1
     return owner, chosen - begin, gram[chosen], window, lead, tail
 
@@ -112,8 +113,7 @@ def anchors(hashes: np.ndarray, rows: np.ndarray, least: int):
 def suffix_arrays(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all suffixes in order: text, offset, and common prefix with the one before.
 
-    Every text ends in its own least symbol, in the order of the texts; common
-    prefixes over 255 count as 255.
+    Every text ends in its own least symbol, in the order of the texts.
     """
     w = len(texts)
     size = np.array([len(t) for t in texts], dtype=np.int64)
@@ -125,7 +125,9 @@ def suffix_arrays(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
     left[np.arange(len(code)) + np.repeat(np.arange(w), size) + 1] = code + 1
     left[place0[:-1]] = 0
     suffix = place0[1:] - 1  # the end marks, in the order of the texts
-    common = np.zeros(w, dtype=np.uint8)
+    # common prefixes are no longer than the longest text
+    kind = np.uint8 if size.max(initial=0) < 255 else np.int32
+    common = np.zeros(w, dtype=kind)
     for _ in range(int(size.max(initial=0))):
         bwt = left[suffix]
         order = np.argsort(bwt, kind="stable")
@@ -136,17 +138,17 @@ def suffix_arrays(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
         lo, hi = order[:-1][same] + 1, order[1:][same]
         width = hi - lo + 1
         level = np.frexp(width.astype(np.float64))[1] - 1
-        least = np.zeros(len(lo), dtype=np.uint8)
+        least = np.zeros(len(lo), dtype=kind)
         table = common
         for k in range(int(level.max(initial=0)) + 1):
             at = np.flatnonzero(level == k)
             least[at] = np.minimum(table[lo[at]], table[hi[at] - (1 << k) + 1])
             if len(table) > 1 << k:
                 table = np.minimum(table[: -(1 << k)], table[1 << k :])
-        longer = np.zeros(len(order), dtype=np.uint8)
-        longer[1:][same] = np.minimum(least, 254) + 1
+        longer = np.zeros(len(order), dtype=kind)
+        longer[1:][same] = least + 1
         suffix = np.concatenate([place0[1:] - 1, suffix[order] - 1])
-        common = np.concatenate([np.zeros(w, np.uint8), longer])
+        common = np.concatenate([np.zeros(w, kind), longer])
     return text_of[suffix], suffix - place0[text_of[suffix]], common
 
 
@@ -285,7 +287,8 @@ def spans(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str =
     rows = _doc_rows(docs, text, doc_id)
     HIT = "bucket int, keys binary, windows binary, uids binary, docs binary, places binary, leads binary, tails binary"
     names = [x.split()[0] for x in HIT.split(", ")]
-    kinds = [np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8]
+    short = np.uint8 if least < 256 else np.int32
+    kinds = [np.uint64, np.uint64, np.int64, np.int64, np.int32, short, short]
 
     def send(batches):
         for batch in batches:
@@ -296,7 +299,7 @@ def spans(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str =
                 owner, place, gram, window, lead, tail = anchors(hashed, rowed, least)
                 owner = owner + i
                 out = []
-                for b, (k, w, o, p, x, y) in _spread(_bucket_of(mix(gram), cut), cut, gram, window, owner, place.astype(np.int32), lead.astype(np.uint8), tail.astype(np.uint8)):
+                for b, (k, w, o, p, x, y) in _spread(_bucket_of(mix(gram), cut), cut, gram, window, owner, place.astype(np.int32), lead.astype(short), tail.astype(short)):
                     out.append((b, k.tobytes(), w.tobytes(), uid[o].tobytes(), doc[o].tobytes(), p.tobytes(), x.tobytes(), y.tobytes()))
                 if out:
                     yield _batches(out, names, [pa.int32(), *[pa.binary()] * 7])
@@ -335,7 +338,7 @@ def spans(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str =
                 begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
                 first = first[np.repeat(np.diff(np.append(begin, len(k))) > 1, np.diff(np.append(begin, len(k))))]
                 n = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(uid[first]), pa.array(key[first].view(np.int64)), pa.array(window[first].view(np.int64)), pa.array(place[first] - lead[first]), pa.array((lead[first] + tail[first]).astype(np.int32)), pa.array(np.full(n, batch.column(0)[r].as_py(), np.int32))], names=["uid", "key", "name", "start", "size", "bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array(uid[first]), pa.array(key[first].view(np.int64)), pa.array(window[first].view(np.int64)), pa.array(place[first] - lead[first].astype(np.int32)), pa.array(lead[first].astype(np.int32) + tail[first]), pa.array(np.full(n, batch.column(0)[r].as_py(), np.int32))], names=["uid", "key", "name", "start", "size", "bucket"])
 
     asked = hits.mapInArrow(wanted, "uid long, key long, name long, start int, size int, bucket int")
     asked = asked.groupBy("uid").agg(F.collect_list(F.struct("key", "name", "start", "size", "bucket")).alias("asked"))
@@ -396,7 +399,7 @@ def spans(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str =
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All passages of 50 words or more that documents share."""
-    return spans(tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")).drop("uid")
+    return spans(spread(tuned(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).drop("uid")
 
 
 def cut_words(text: str, starts: list[int], ends: list[int]) -> str:
@@ -421,13 +424,13 @@ def without_passages(docs: DataFrame, least: int = LEAST, text: str = "text", do
     if not text:
         return docs.toDF(*names)
     with scratch(docs.sparkSession):
-        found = saved(spans(docs, least, text, doc_id).where("cut"), keep=True)
-    by_doc = found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
+        found = spans(docs, least, text, doc_id).where("cut")
+        # a row for each text with cuts; their number bounds what is sent to the texts
+        by_doc = saved(found.groupBy(F.col("uid").alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts")), keep=True)
     fields = docs.schema.fields
     body = column(docs, text).cast("string")
     keyed = docs.select("*", F.when(column(docs, doc_id).isNotNull(), F.xxhash64(column(docs, doc_id).cast("long"), body)).alias("uid"))
-    # the cuts go to the texts while they are few; beyond that both are joined
-    joined = keyed.join(F.broadcast(by_doc) if found.count() <= broadcast_rows else by_doc, "uid", "left").select(*docs.columns, "cuts")
+    cut = joined(keyed, F.col("uid"), by_doc, "left", broadcast_rows).select(*docs.columns, "cuts")
     at = [f.name for f in fields].index(text)
     chars = next((i for i, f in enumerate(fields) if f.name == n_chars), None)
 
@@ -452,7 +455,7 @@ def without_passages(docs: DataFrame, least: int = LEAST, text: str = "text", do
                 cols = [c.filter(kept) for c in cols]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return joined.mapInArrow(run, T.StructType(fields)).toDF(*names)
+    return cut.mapInArrow(run, T.StructType(fields)).toDF(*names)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

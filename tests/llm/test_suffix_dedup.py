@@ -127,3 +127,23 @@ def test_hard_tables(spark, hard_docs, empty_docs):
         by_id.setdefault(r["doc_id"], []).append(r)
     assert len(by_id[1]) == 2 and 2 not in by_id and by_id[3][0]["text"] == "tail" and len(by_id[None]) == 2
     assert by_id[8][0]["text"] == hard_docs.where("doc_id = 8").head()["text"]
+
+
+@pytest.mark.parametrize("least", [10, 50, 255, 300])
+def test_any_length_of_passages(spark, least):
+    rng = random.Random(least)
+    shared = [[f"s{rng.randrange(40)}" for _ in range(least + k)] for k in (-1, 0, 1, least)]
+    rows = []
+    for i in range(30):
+        words = []
+        for _ in range(3):
+            words += [f"o{i}x{rng.randrange(9999)}" for _ in range(rng.randrange(40))] + rng.choice(shared)
+        rows.append((i, " ".join(words)))
+    got = S.spans(spark.createDataFrame(rows, "doc_id long, text string"), least).drop("uid").collect()
+    assert _united(tuple(r) for r in got) == _united(brute_spans(rows, least))
+
+
+def test_cuts_are_the_same_whichever_way_they_reach_the_texts(spark):
+    docs = spark.createDataFrame(corpus(4), "doc_id long, text string")
+    a, b = (sorted(map(tuple, S.without_passages(docs, broadcast_rows=n).collect())) for n in (1_000_000, 0))
+    assert a == b
