@@ -50,7 +50,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import by_bucket, by_place, column, saved, scratch, tuned, ways
+from ..session import spread
+from .frames import by_bucket, by_place, column, joined, saved, scratch, tuned, ways
 from .textarrays import buffers, mix, ngrams, slices, unique_by_row, words
 
 N = 3
@@ -156,9 +157,9 @@ def node_sets(nodes: DataFrame, n: int) -> DataFrame:
             tids = batch.column(0).to_numpy()
             for i, grams, rows in shingles(batch.column(1), n):
                 ids = tids[i : i + len(rows) - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(rows).astype(np.int32)), pa.array([grams[a:b].tobytes() for a, b in zip(rows[:-1], rows[1:])], pa.binary())], names=["tid", "size", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(rows).astype(np.int32)), pa.array([grams[a:b].tobytes() for a, b in zip(rows[:-1], rows[1:])], pa.binary()), batch.column(2).slice(i, len(ids))], names=["tid", "size", "grams", "many"])
 
-    return nodes.mapInArrow(run, "tid long, size int, grams binary").where("size > 0")
+    return nodes.mapInArrow(run, "tid long, size int, grams binary, many boolean").where("size > 0")
 
 
 # ---- step 2: the index -----------------------------------------------------
@@ -556,10 +557,15 @@ def _groups(spark, docs: DataFrame, n: int, threshold: float, text: str, doc_id:
     ids = held.select("doc_id", "tid")
     # a word of about five bytes has one n-gram of four
     found = survivors(rows.select("tid", "text"), n, threshold, ways(spark, held.agg(F.sum("bytes")).head()[0] or 0, BUCKET_BYTES))
-    kept = saved(found.join(ids.groupBy("tid").agg(F.min("doc_id").alias("doc_id")), "tid"))
-    some = kept.count()
-    chosen = rows.join(F.broadcast(kept) if some <= broadcast_rows else kept, ["doc_id", "tid"], "left_semi")
-    sets = saved(node_sets(chosen.select("tid", "text"), n))
+    # each node's text is read from the rows of its least id; if these are several, they are made one
+    first_row = ids.groupBy("tid", "doc_id").count().groupBy("tid").agg(F.min_by(F.struct("doc_id", "count"), "doc_id").alias("r"))
+    kept = saved(found.join(first_row, "tid").select(F.xxhash64("r.doc_id", "tid").alias("__key"), (F.col("r.count") > 1).alias("many")))
+    chosen = joined(rows, F.xxhash64("doc_id", "tid"), kept, "inner", broadcast_rows)
+    every = node_sets(chosen.select("tid", "text", "many"), n)
+    if kept.where("many").limit(1).count():
+        every = saved(every)
+        every = every.where("not many").unionByName(every.where("many").dropDuplicates(["tid"]))
+    sets = saved(every.drop("many"))
     # an n-gram makes one entry of 13 bytes, or a little more
     cut = ways(spark, 16 * (sets.agg(F.sum("size")).head()[0] or 0), BUCKET_BYTES)
 
@@ -602,10 +608,10 @@ def _groups(spark, docs: DataFrame, n: int, threshold: float, text: str, doc_id:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Groups of near copies among all documents: word trigrams, Jaccard 0.6."""
-    return groups(tuned(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups(spread(tuned(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark, docs: DataFrame, sf_dir: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Pipeline stage: of each group only one text of the least id stays.
 
     Rows go by id and text: where an id stands on several texts, those in no
@@ -613,6 +619,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     in no group, all stay.
     """
     named, (doc_id, text) = by_place(docs, "doc_id", "text")
-    gone = members(named, doc_id=doc_id, text=text).where("not head").select(F.col("doc_id").alias("__id"), F.col("tid").alias("__tid"))
-    same = (column(named, doc_id).cast("long") == gone["__id"]) & (F.xxhash64(column(named, text).cast("string")) == gone["__tid"])
-    return named.join(gone, same, "left_anti").toDF(*docs.columns)
+    gone = members(named, doc_id=doc_id, text=text, broadcast_rows=broadcast_rows).where("not head").select(F.xxhash64("doc_id", "tid").alias("__key"))
+    own = column(named, doc_id).cast("long")
+    key = F.when(own.isNotNull(), F.xxhash64(own, F.xxhash64(column(named, text).cast("string"))))
+    return joined(named, key, gone, "left_anti", broadcast_rows).toDF(*docs.columns)

@@ -115,3 +115,21 @@ def test_stage_drops_by_id_and_text(spark):
     assert [t for i, t in kept if i in (1, 2)] in ([body, "clean text " + other], ["clean text " + other, body])
     assert len([t for i, t in kept if i in (3, 4)]) == 1 and 4 not in {i for i, _ in kept}
     assert (None, None) in kept and (5, None) in kept and len(kept) == 5
+
+
+def test_many_buckets_and_no_broadcasts(spark, monkeypatch):
+    """Past every switch of cost: texts joined by filter and shuffle, many buckets."""
+    rows = corpus(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(J, "BUCKET_BYTES", 3000)
+    got = J.groups(docs, broadcast_rows=0).collect()
+    assert {r["doc_id"]: r["group_id"] for r in got} == brute_groups(rows)
+    kept = sorted(r["doc_id"] for r in J.stage(spark, docs, "", broadcast_rows=0).collect())
+    assert kept == sorted(set(range(len(rows))) - {r["doc_id"] for r in got if r["doc_id"] != r["group_id"]})
+
+
+def test_a_third_of_all_rows_repeats_one(spark):
+    body = " ".join(f"b{k}" for k in range(40))
+    rows = [(0, body)] * 200 + [(i, body) for i in range(1, 200)] + [(i, body + f" e{i}") for i in range(200, 400)]
+    got = J.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 400 and {r["group_id"] for r in got} == {0}
