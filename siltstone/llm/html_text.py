@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import column, tuned
+from ..session import spread
+from .frames import extended, tuned
 
 RESULT = ("text", "n_blocks", "n_content")
 _BLOCK = "address article aside blockquote body br button caption center dd details dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
@@ -202,19 +203,15 @@ def extract(page: str | None, tree=None) -> tuple[str, int, int]:
 
 def extract_pages(pages: DataFrame, page: str = "html") -> DataFrame:
     """Adds ``text, n_blocks, n_content`` and drops the page."""
-    tuned(pages.sparkSession)
-    passed = [f for f in pages.schema.fields if f.name not in (*RESULT, page)]
-    schema = T.StructType([*passed, T.StructField("text", T.StringType()), T.StructField("n_blocks", T.IntegerType()), T.StructField("n_content", T.IntegerType())])
-    given = pages.select(*[pages[f"`{f.name}`"] for f in passed], column(pages, page).cast("string").alias("__page"))
+    result = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_blocks", T.IntegerType()), T.StructField("n_content", T.IntegerType())])
 
-    def run(batches):
-        for b in batches:
-            got = [extract(p) for p in b.column(len(passed)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(passed))), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())], names=schema.names)
+    def run(html):
+        got = [extract(p) for p in html.to_pylist()]
+        return pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())
 
-    return given.mapInArrow(run, schema)
+    return extended(pages, [page], run, result, (page,))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return extract_pages(tuned(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_pages(spread(tuned(spark).read.parquet(f"{sf_dir}/pages.parquet")))

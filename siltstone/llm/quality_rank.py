@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import column, saved, tuned
+from ..session import spread
+from .frames import column, extended, saved, tuned
 from .textarrays import SPACE, buffers, slices, words
 
 BITS = 15
@@ -181,18 +182,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_labelled:
 
 def rank(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``score``, rounded to six places, to every row."""
-    spark = tuned(docs.sparkSession)
-    held = spark.sparkContext.broadcast(model)
-    passed = [f for f in docs.schema.fields if f.name not in RESULT and (keep_text or f.name != text)]
-    schema = T.StructType([*passed, T.StructField("score", T.DoubleType())])
-    given = docs.select(*[docs[f"`{f.name}`"] for f in passed], column(docs, text).cast("string").alias("__text"))
-
-    def run(batches):
-        for b in batches:
-            score = np.round(held.value.score(b.column(len(passed))), 6)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(passed))), pa.array(score)], names=schema.names)
-
-    return given.mapInArrow(run, schema)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    result = T.StructType([T.StructField("score", T.DoubleType())])
+    out = extended(docs, [text], lambda body: (pa.array(np.round(held.value.score(body), 6)),), result, () if keep_text else (text,))
+    return out.drop("keep")
 
 
 def threshold(scored: DataFrame, quantile: float) -> DataFrame:
@@ -216,15 +209,14 @@ def threshold(scored: DataFrame, quantile: float) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.2, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``score`` and ``keep`` to every row."""
-    scored = rank(docs, train(docs, labels, text), text, keep_text)
-    if not keep_text:  # narrow rows: scored once, kept in the shared folder
-        scored = saved(scored)
+    # scored once, kept in the shared folder
+    scored = saved(rank(docs, train(docs, labels, text), text, keep_text))
     cut = threshold(scored.select("score"), quantile).collect()[0]["cut"]
     return scored.withColumn("keep", F.lit(True) if cut is None else F.col("score") >= F.lit(cut))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Score of every document and whether it is above the lower quantile."""
-    docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(tuned(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(docs.select("doc_id", "source", "text"), labels, keep_text=False)
+    return classify(docs, labels, keep_text=False)

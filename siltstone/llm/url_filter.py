@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import column, tuned
+from .frames import column, extended, tuned
 
 BLOCKED = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
 RESULT = ("score", "keep")
@@ -225,18 +225,14 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", max_rows:
 
 def filter_urls(rows: DataFrame, model: Trees, url: str = "url", most: float = 0.5, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Adds ``score``, the probability of an unwanted URL, and ``keep`` (below ``most``)."""
-    spark = tuned(rows.sparkSession)
-    held = spark.sparkContext.broadcast(model)
-    passed = [f for f in rows.schema.fields if f.name not in RESULT and (keep is None or f.name in keep)]
-    schema = T.StructType([*passed, T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
-    given = rows.select(*[rows[f"`{f.name}`"] for f in passed], column(rows, url).cast("string").alias("__url"))
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    result = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
-    def run(batches):
-        for b in batches:
-            score = np.round(held.value.score(b.column(len(passed)).to_pylist()), 6)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(passed))), pa.array(score), pa.array(score < most)], names=schema.names)
+    def run(urls):
+        score = np.round(held.value.score(urls.to_pylist()), 6)
+        return pa.array(score), pa.array(score < most)
 
-    return given.mapInArrow(run, schema)
+    return extended(rows, [url], run, result, keep=keep)
 
 
 def labelled_by_hosts(pages: DataFrame, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
