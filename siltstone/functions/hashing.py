@@ -20,11 +20,11 @@ def fnv1a(data: bytes, basis: int = _BASIS) -> int:
     return h
 
 
-def fnv1a_many(texts: list[str]) -> np.ndarray:
+def fnv1a_many(texts: list[str], basis: int = _BASIS) -> np.ndarray:
     """FNV-1a-64 of each string, column by column over all of them."""
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
     size = np.array([len(d) for d in data], dtype=np.int64)
-    h = np.full(len(data), _BASIS, dtype=np.uint64)
+    h = np.full(len(data), basis, dtype=np.uint64)
     flat = np.frombuffer(b"".join(data), dtype=np.uint8)
     start = np.cumsum(size) - size
     live = np.arange(len(data))
@@ -44,19 +44,6 @@ def fnv1a_64(text: pd.Series) -> pd.Series:
     return out
 
 
-def simhash_votes(value: Column, weight: Column) -> list[Column]:
-    """64 sums, one for each bit: weights of hashes with it less those without."""
-    return [F.sum(F.when(value.bitwiseAND(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) != 0, weight).otherwise(-weight)).alias(f"v{k}") for k in range(64)]
-
-
-def simhash_bits() -> Column:
-    """The fingerprint of the votes: a bit is set where its sum is above zero."""
-    out = F.lit(0).cast("long")
-    for k in range(64):
-        out = out.bitwiseOR(F.when(F.col(f"v{k}") > 0, F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -76,8 +63,7 @@ class Bloom:
 
     def _places(self, keys: list[str]) -> np.ndarray:
         one = fnv1a_many(keys)
-        data = [k.encode("utf-8", "surrogatepass") for k in keys]
-        two = np.array([fnv1a(d, fnv1a(b"\xff")) for d in data], dtype=np.uint64)
+        two = fnv1a_many(keys, fnv1a(b"\xff"))
         return (one[:, None] + np.arange(self.k, dtype=np.uint64) * two[:, None]) % np.uint64(self.m)
 
     def add(self, keys: list[str]) -> None:

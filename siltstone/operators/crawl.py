@@ -43,15 +43,45 @@ def retried(status: Column) -> Column:
 def redirect_targets(redirects: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
     """``url, final, hops``: where addresses end, within ``most`` hops; loops don't end and are left out."""
     spark = redirects.sparkSession
-    redirects.select("src", "dst").createOrReplaceTempView("__redirects")
-    starts.select("url").createOrReplaceTempView("__starts")
-    return spark.sql(f"""
+    return spark.sql(
+        f"""
         WITH RECURSIVE hop(url, final, hops) AS (
-          SELECT url, url, 0 FROM __starts
-          UNION ALL SELECT h.url, r.dst, h.hops + 1 FROM hop h JOIN __redirects r ON r.src = h.final WHERE h.hops < {int(most)}
+          SELECT url, url, 0 FROM {{starts}}
+          UNION ALL SELECT h.url, r.dst, h.hops + 1 FROM hop h JOIN {{redirects}} r ON r.src = h.final WHERE h.hops < {int(most)}
         )
-        SELECT url, final, hops FROM hop h WHERE NOT EXISTS (SELECT 1 FROM __redirects r WHERE r.src = h.final)""")
-
+        SELECT url, final, hops FROM hop h WHERE NOT EXISTS (SELECT 1 FROM {{redirects}} r WHERE r.src = h.final)""",
+        starts=starts.select("url"),
+        redirects=redirects.select("src", "dst"),
+    )
+
+
+def fetch_states(log: DataFrame, url: str = "url", seq: str = "seq", robots: str = "robots_status", allowed: str = "allowed", status: str = "status") -> DataFrame:
+    """The log of attempts with ``state``, as the fetcher goes on: an address that
+    came before is ``seen``, whatever became of it then; the first is
+    ``disallowed`` by its host's robots file, ``failed`` or ``fetched``."""
+    nth = F.row_number().over(Window.partitionBy(url).orderBy(seq))
+    may = robots_decision(F.col(robots), F.col(allowed))
+    state = F.when(F.col("__nth") > 1, "seen").when(~may, "disallowed").when(F.col(status).between(200, 299), "fetched").otherwise("failed")
+    return log.withColumn("__nth", nth).withColumn("state", state).drop("__nth")
+
+
+def archived(fetched: DataFrame, body: str = "html", seq: str = "page_id") -> DataFrame:
+    """The archive of contents: a row for each different body, by hash, with the first that brought it."""
+    return fetched.where(F.col(body).isNotNull()).groupBy(F.sha2(body, 256).alias("sha")).agg(F.min(seq).alias(seq), F.count("*").alias("times"), F.first(F.octet_length(body)).cast("long").alias("bytes"))
+
+
+def split_listings(pages: DataFrame, listing: str, known: DataFrame, content: tuple[str, ...] | None = None, most: int = 40, url: str = "url", seq: str = "page_id") -> DataFrame:
+    """Pages with ``kind``: a ``listing`` (its path matches) is read for links only;
+    what isn't one is ``content``, ``known`` from a run before, ``skipped`` where no
+    extractor knows its host, or ``over`` the ``most`` new ones of a run."""
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    seen = known.select(F.col(url)).distinct().withColumn("__known", F.lit(True))
+    held = pages.join(seen, url, "left").withColumn("__skip", F.lit(False) if content is None else ~F.coalesce(F.try_parse_url(url, F.lit("HOST")).isin(*content), F.lit(False)))
+    kind = F.when(path.rlike(listing), "listing").when(F.col("__known"), "known").when(F.col("__skip"), "skipped").otherwise("content")
+    held = held.withColumn("kind", kind).drop("__known", "__skip")
+    # the first so many new pages: one row a run marks where they end
+    last = held.where("kind = 'content'").select(seq).orderBy(seq).limit(most).agg(F.max(seq).alias("__last"))
+    return held.crossJoin(F.broadcast(last)).withColumn("kind", F.when((F.col("kind") == "content") & (F.col(seq) > F.col("__last")), "over").otherwise(F.col("kind"))).drop("__last")
 
 def robots_decision(status: Column, allowed: Column) -> Column:
     """No robots file allows all; any other failure denies; else the rules decide."""
@@ -128,6 +158,6 @@ def latest(registrations: DataFrame, key: str = "host", seq: str = "seq") -> Dat
 def attributed(rows: DataFrame, policies: DataFrame, url: str = "url") -> DataFrame:
     """Rows with their host's policy; running it fails on a host without one."""
     held = rows.withColumn("host", origin(F.col(url)))
-    joined = held.join(F.broadcast(latest(policies)), "host", "left")
+    joined = held.join(latest(policies), "host", "left")
     known = F.assert_true(F.col("source_type").isNotNull(), F.concat(F.lit("no policy for "), F.coalesce("host", F.lit("?"))))
     return joined.withColumn("__ok", known).where("__ok is null").drop("__ok")

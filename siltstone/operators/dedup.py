@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hashing import fnv1a_64, hamming, simhash_bits, simhash_votes
-from .index import term_frequency
+from ..functions.hashing import fnv1a_many, hamming
+from ..functions.text import tokenized
 
 
 def first_seen(urls: DataFrame, url: str = "url", order: str = "page_id") -> DataFrame:
@@ -30,38 +35,58 @@ def admitted(found: DataFrame, known: DataFrame, most: int = 40, url: str = "url
     return unseen(first_seen(found, url, order), known, url).orderBy(order, url).limit(most)
 
 
+@F.pandas_udf(T.LongType())
+def simhash(tokens: pd.Series) -> pd.Series:
+    """64-bit SimHash of a list of terms, each as often as it occurs; 0 without terms."""
+    out = np.zeros(len(tokens), np.int64)
+    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(tokens):  # some 100,000 terms at once
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 100_000, side="right")))
+        code, terms = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in tokens.iloc[a:b]]))
+        if len(code):
+            signs = np.unpackbits(fnv1a_many(terms.tolist()).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+            some = np.flatnonzero(sizes[a:b])
+            votes = np.add.reduceat(signs[code], (ends[a:b] - sizes[a:b])[some] - (ends[a - 1] if a else 0), axis=0)
+            out[a + some] = np.packbits((votes > 0).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
+        a = b
+    return pd.Series(out)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: 64-bit SimHash over terms as often as they occur.
+    """``doc_id, fp``: SimHash over terms as often as they occur, without a shuffle."""
+    return tokenized(docs.select("doc_id", "text")).select("doc_id", simhash("tokens").alias("fp"))
+
 
-    Each distinct term is hashed once and the hashes joined back; documents
-    without terms have the fingerprint 0.
+def members(fp: DataFrame) -> DataFrame:
+    """``doc_id, class_id, copies``: the least id with the same fingerprint, and how many have it.
+
+    Fingerprint 0 (no terms, or all votes tied) makes no class: each such row is its own.
     """
-    tf = term_frequency(docs)
-    hashed = tf.select("term").distinct().withColumn("h", fnv1a_64("term"))
-    votes = tf.join(hashed, "term").groupBy("doc_id").agg(*simhash_votes(F.col("h"), F.col("tf")))
-    fp = votes.select("doc_id", simhash_bits().alias("fp"))
-    return docs.select("doc_id").join(fp, "doc_id", "left").select("doc_id", F.coalesce("fp", F.lit(0).cast("long")).alias("fp"))
+    classes = fp.where("fp != 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    return fp.join(classes, "fp", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
 
 
-def near_pairs(fp: DataFrame, distance: int = 3) -> DataFrame:
+def near_pairs(fp: DataFrame, distance: int = 3, spare: int = 2) -> DataFrame:
     """``id_a, id_b, distance`` of the fingerprints that differ in at most so many bits.
 
-    Of distance + 1 bands of bits at least one is equal.  Equal fingerprints are
-    one key in the join, whose pairs are then those of their documents.
-    Fingerprint 0 (no terms, or all votes tied) has no pairs.
+    A fingerprint stands for all documents that have it, by its least id (see
+    ``members``): pairs are of different fingerprints.  Of distance + 1 + spare
+    bands of bits at least 1 + spare are equal; every choice of so many bands is
+    a key, so a key has about half of the 64 bits and few fingerprints share
+    one by chance.  Fingerprint 0 has no pairs.
     """
-    bands = distance + 1
+    bands = distance + 1 + spare
     cut = [64 * i // bands for i in range(bands + 1)]
-    keys = fp.where("fp != 0").select("fp").distinct()
-
-    def band(i: int):
-        width = cut[i + 1] - cut[i]
-        part = F.shiftrightunsigned("fp", cut[i])
-        return part if width == 64 else part.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
-    banded = keys.select("fp", F.posexplode(F.array(*[band(i) for i in range(bands)])).alias("band", "value"))
-    a, b = banded.withColumnRenamed("fp", "fa"), banded.withColumnRenamed("fp", "fb")
-    close = a.join(b, ["band", "value"]).where("fa < fb").where(hamming(F.col("fa"), F.col("fb")) <= distance).select("fa", "fb").distinct()
-    each = close.union(close.select("fb", "fa")).union(keys.select("fp", "fp")).toDF("fa", "fb")
-    one, two = fp.select(F.col("doc_id").alias("id_a"), F.col("fp").alias("fa")), fp.select(F.col("doc_id").alias("id_b"), F.col("fp").alias("fb"))
-    return one.join(each, "fa").join(two, "fb").where("id_a < id_b").select("id_a", "id_b", hamming(F.col("fa"), F.col("fb")).cast("int").alias("distance"))
+    keys = fp.where("fp != 0").groupBy("fp").agg(F.min("doc_id").alias("id"))
+
+    def masked(chosen: tuple[int, ...]) -> int:
+        mask = sum(((1 << (cut[i + 1] - cut[i])) - 1) << cut[i] for i in chosen)
+        return mask - (1 << 64) if mask >> 63 else mask
+
+    choices = [F.col("fp").bitwiseAND(F.lit(masked(c)).cast("long")) for c in itertools.combinations(range(bands), 1 + spare)]
+    banded = keys.select("id", "fp", F.posexplode(F.array(*choices)).alias("band", "value"))
+    a, b = banded.select("band", "value", F.col("id").alias("ia"), F.col("fp").alias("fa")), banded.select("band", "value", F.col("id").alias("ib"), F.col("fp").alias("fb"))
+    near = hamming(F.col("fa"), F.col("fb"))
+    return a.join(b, ["band", "value"]).where("ia < ib").where(near <= distance).select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), near.cast("int").alias("distance")).distinct()

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def judged(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
-    """The ranking with ``relevance``; what isn't judged has 0."""
-    return ranking.join(qrels, ["query_id", "doc_id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
+    """The ranking with ``relevance``; what isn't judged has 0.
+
+    Judgments without ``query_id`` hold for every query.
+    """
+    on = ["query_id", "doc_id"] if "query_id" in qrels.columns else ["doc_id"]
+    return ranking.join(qrels, on, "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
 
 
 def by_query(queries: DataFrame, ranking: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rank import bm25, numbered, query_terms, ranked
+from .rank import bm25, bm25_index, numbered, query_terms, ranked
 from .vector import nearest, with_rank
 
 K = 60
@@ -31,8 +31,18 @@ def hybrid(docs: DataFrame, vectors: DataFrame | None, query: str, embed: Callab
 
     Without an embedder, or where it fails, the BM25 order stands.
     """
-    spark = docs.sparkSession
-    lexical = ranked(bm25(docs, query_terms(spark, {0: query}))).select("doc_id", "rank")
+    terms = query_terms(docs.sparkSession, {0: query})
+    return _with_vectors(ranked(bm25(docs, terms)), vectors, query, embed, semantic)
+
+
+def hybrid_index(index, vectors: DataFrame | None, query: str, embed: Callable[[str], list[float]] | None, semantic: int = SEMANTIC) -> DataFrame:
+    """The same over a stored index."""
+    terms = query_terms(index.postings.sparkSession, {0: query})
+    return _with_vectors(ranked(bm25_index(index, terms)), vectors, query, embed, semantic)
+
+
+def _with_vectors(ranking: DataFrame, vectors: DataFrame | None, query: str, embed, semantic: int) -> DataFrame:
+    lexical = ranking.select("doc_id", "rank")
     vector = None
     if embed is not None and vectors is not None:
         try:

@@ -52,6 +52,30 @@ def gaps(occ: DataFrame) -> DataFrame:
     return occ.withColumn("gap", (F.col("pos") - F.lag("pos", 1, 0).over(w)).cast("int"))
 
 
+def undone(gapped: DataFrame) -> DataFrame:
+    """Positions back from gaps (columns doc_id, term, nth, gap): a running sum.
+
+    Running it fails where a position doesn't rise, as decoding does.
+    """
+    w = Window.partitionBy("doc_id", "term").orderBy("nth")
+    rises = (F.col("gap") > 0) | ((F.row_number().over(w) == 1) & (F.col("gap") == 0))
+    held = gapped.withColumn("__ok", F.assert_true(rises, F.lit("positions must rise"))).withColumn("pos", F.sum("gap").over(w).cast("int"))
+    return held.where("__ok is null").drop("__ok")
+
+
+def varint(value: Column) -> Column:
+    """The bytes of a value, seven bits in each, the lowest first, in hex."""
+    last = F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / F.lit(7))).cast("int") - 1
+    part = lambda i: F.shiftrightunsigned(value, 7 * i).bitwiseAND(F.lit(127).cast("long")) + F.when(F.lit(i) < last, F.lit(128)).otherwise(F.lit(0))
+    return F.concat_ws("", *[F.when(F.lit(i) <= last, F.lpad(F.hex(part(i)), 2, "0")) for i in range(10)])
+
+
+def unvarint(digits: Column) -> Column:
+    """The value of the bytes that ``varint`` made."""
+    bytes_ = F.transform(F.sequence(F.lit(0), (F.length(digits) / F.lit(2)).cast("int") - 1), lambda i: F.conv(F.substr(digits, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    return F.aggregate(F.reverse(bytes_), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 7) + b.bitwiseAND(F.lit(127).cast("long")))
+
+
 def varint_bytes(value: Column) -> Column:
     """Bytes of the value, seven bits in each."""
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(value)) / F.lit(7))).cast("long")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, runs, tokenized
 
 K1, B = 1.5, 0.75
+#: So many terms of all queries together are literals in the plan.
+FEW = 2000
 
 
 def query_terms(spark: SparkSession, queries: dict) -> DataFrame:
@@ -29,26 +31,37 @@ def saturation(tf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float =
     return tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / avgdl))
 
 
+def few(terms: DataFrame) -> list[str] | None:
+    """The distinct terms if they are few enough to stand in a plan, else none."""
+    got = [r["term"] for r in terms.select("term").distinct().limit(FEW + 1).collect()]
+    return got if len(got) <= FEW else None
+
+
 def matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, doc_id, tf, dl`` of the terms, and the corpus statistics, from raw documents.
+    """``doc_id, dl, found``: each document's length and those of its terms that are wanted.
 
-    The terms are few: they are sent to the scan, where each document's own
-    terms are filtered before anything is exploded or shuffled.
+    Few terms are sent to the scan, where each document's own terms are
+    filtered before anything is exploded or shuffled; of more all are kept, for
+    a join.
     """
-    wanted = [r["term"] for r in terms.select("term").distinct().collect()]
+    wanted = few(terms)
     held = tokenized(docs.select("doc_id", "text"))
-    found = F.filter("tokens", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
+    found = F.col("tokens") if wanted is None else F.filter("tokens", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
     return held.select("doc_id", F.size("tokens").cast("long").alias("dl"), found.alias("found"))
 
 
-def scored(tf: DataFrame, lengths: DataFrame, stats: DataFrame, df: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def weights(df: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """``query_id, term, avgdl, w``; the statistics are one row."""
+    return terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avgdl", (idf(F.col("n"), F.col("df")) * F.col("qtf")).alias("w"))
+
+
+def scored(tf: DataFrame, weight: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, doc_id, score`` of all documents with any term.
 
-    A term that a query repeats counts as often.
+    ``tf`` has each document's length.  A term that a query repeats counts as
+    often.  Spark broadcasts the weights by their size.
     """
-    weight = terms.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).withColumn("w", idf(F.col("n"), F.col("df")) * F.col("qtf"))
-    hits = tf.join(F.broadcast(weight), "term").join(lengths, "doc_id")
-    return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
+    return tf.join(weight, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
 
 
 def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -62,17 +75,19 @@ def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> Dat
     tf = held.where(F.size("found") > 0).select("doc_id", "dl", F.explode("found").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     # reads tf, so that both uses of tf have the same columns and share one exchange
     df = tf.groupBy("term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
-    weight = terms.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).withColumn("w", idf(F.col("n"), F.col("df")) * F.col("qtf"))
-    return tf.join(F.broadcast(weight), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("score"))
+    return scored(tf, weights(df, stats, terms), k1, b)
 
 
 def bm25_index(index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """The same over a stored index, whose term filter reaches the scan."""
-    wanted = [r["term"] for r in terms.select("term").distinct().collect()]
-    tf = index.lookup(*wanted).select("term", "doc_id", "tf")
+    wanted = few(terms)
     lengths = index.documents.select("doc_id", "dl")
     stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return scored(tf, lengths, stats, index.frequency(*wanted), terms, k1, b)
+    if wanted is None:
+        tf, df = index.postings, index.dictionary.groupBy("term").agg(F.sum("df").alias("df"))
+    else:
+        tf, df = index.lookup(*wanted), index.frequency(*wanted)
+    return scored(tf.select("term", "doc_id", "tf").join(lengths, "doc_id"), weights(df, stats, terms), k1, b)
 
 
 def numbered(rows: DataFrame, by: Column, then: str, within: tuple[str, ...] = (), into: str = "rank") -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.language import LEAST, detected
 from ..functions.text import content_hash, duration, origin, paragraphs, passage_id, tokenized, tokens_with_offsets
 from ..functions.urls import canonical_url
 from ..operators import crawl, dedup, evaluate, hybrid, index, rank, snippet, vector
-from ..session import spread
+from ..session import lasting_dir, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,6 +73,19 @@ def token_offsets(spark, d):
     return spans.groupBy(F.col("t.text").alias("term")).agg(F.count("*").alias("n"), F.sum(F.col("t.end") - F.col("t.start")).alias("bytes"))
 
 
+@register(
+    "token_spans",
+    r"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '\p{L}+|\p{Nd}+') AS toks, regexp_split_to_array(text, '\p{L}+|\p{Nd}+') AS gaps FROM documents),
+    u AS (SELECT doc_id, unnest(toks) AS tok, unnest(gaps[1:len(toks)]) AS gap, generate_subscripts(toks, 1) AS i FROM r),
+    p AS (SELECT doc_id, i, tok, sum(octet_length(encode(gap)) + octet_length(encode(tok))) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM u)
+    SELECT doc_id, (i - 1)::INT AS pos, lower(tok) AS term, (stop - octet_length(encode(tok)))::INT AS start, stop::INT AS stop FROM p""",
+)
+def token_spans(spark, d):
+    """Every term with its place in the text's bytes."""
+    held = docs_of(spark, d).select("doc_id", F.posexplode(tokens_with_offsets("text")).alias("pos", "t"))
+    return held.select("doc_id", "pos", F.col("t.text").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("stop"))
+
+
 @register(
     "paragraph_split",
     r"WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[\t\n\f\r ]*\n'), lambda x: regexp_replace(x, '^[\s]+|[\s]+$', '', 'g')), lambda x: x <> '') AS ps FROM documents) SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INT AS nth, unnest(ps) AS paragraph FROM p",
@@ -295,6 +308,54 @@ def reverse_id_map(spark, d):
     return docs_of(spark, d).groupBy(passage_id(F.lit("x"), F.col("text")).alias("passage_id")).agg(F.max_by("doc_id", "doc_id").alias("doc_id"))
 
 
+# ---- stored index ----------------------------------------------------------
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_of(spark, d) -> index.Index:
+    """The documents' index in three segments: written once an application, read by every search."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        path = lasting_dir(spark)
+        index.write_index(docs_of(spark, d), path, F.pmod("doc_id", F.lit(3)))
+        _stored[key] = path
+    return index.Index(spark, _stored[key])
+
+
+@register("bm25_stored", bm25_sql(fixed(TERMS), "SELECT doc_id, round(score, 6) AS score, rank FROM ranked"))
+def bm25_stored(spark, d):
+    out = rank.ranked(rank.bm25_index(stored_of(spark, d), rank.query_terms(spark, {0: TERMS})))
+    return out.select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("phrase_stored", f"WITH {OCC} SELECT DISTINCT doc_id FROM (SELECT doc_id, pos - i AS s FROM occ JOIN (VALUES (0, 'of'), (1, 'the')) q(i, t) ON term = t GROUP BY ALL HAVING count(DISTINCT i) = 2)")
+def phrase_stored(spark, d):
+    return rank.with_phrase_index(stored_of(spark, d), PHRASE)
+
+
+@register("dictionary_stored", f"WITH {TF} SELECT term, count(*) AS df FROM tf GROUP BY term")
+def dictionary_stored(spark, d):
+    return stored_of(spark, d).dictionary.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+@register("merged_stored", f"WITH {TF} SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM tf WHERE doc_id NOT IN ({DEAD}) GROUP BY term")
+def merged_stored(spark, d):
+    """The stored segments merged into one of a new index, without the deleted documents."""
+    stored_of(spark, d)
+    path = lasting_dir(spark)
+    index.merge_index(spark, _stored[spark.sparkContext.applicationId, d], deleted_of(spark, d), path)
+    held = index.Index(spark, path)
+    return held.dictionary.select("term", "df").join(held.postings.groupBy("term").agg(F.sum("tf").alias("n")), "term")
+
+
+@register("gap_round_trip", f"WITH {OCC} SELECT doc_id, term, pos::INT AS pos FROM occ")
+def gap_round_trip(spark, d):
+    """Positions as gaps, as varint bytes, and back; gaps that don't rise would fail."""
+    gapped = index.gaps(index.occurrences(docs_of(spark, d))).select("doc_id", "term", F.col("pos").alias("nth"), index.unvarint(index.varint(F.col("gap").cast("long"))).alias("gap"))
+    return index.undone(gapped).select("doc_id", "term", "pos")
+
+
 # ---- vectors and fusion ----------------------------------------------------
 
 SIM = "sim AS (SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS similarity FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
@@ -314,6 +375,15 @@ def knn_top10(spark, d):
     return out.select("vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+@register("knn_stored", f"WITH {SIM} SELECT vec_id, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM sim QUALIFY rank <= 10")
+def knn_stored(spark, d):
+    """The same over a stored index by cells, of which it visits all, so that it is exact."""
+    path = lasting_dir(spark)
+    vector.write_vectors(vectors_of(spark, d), path, 16)
+    out = vector.with_rank(vector.StoredVectors(spark, path).nearest(vector_zero(spark, d), 10))
+    return out.select("vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 GONE = "SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0"
 
 
@@ -350,6 +420,13 @@ def hybrid_search(spark, d):
     return out.select("doc_id", F.round("rrf", 9).alias("rrf"), F.col("rank").cast("long").alias("rank"))
 
 
+@register("hybrid_stored", RRF)
+def hybrid_stored(spark, d):
+    q = vector_zero(spark, d)
+    out = hybrid.hybrid_index(stored_of(spark, d), vectors_of(spark, d), TERMS, lambda _: q)
+    return out.select("doc_id", F.round("rrf", 9).alias("rrf"), F.col("rank").cast("long").alias("rank"))
+
+
 @register("hybrid_fallback", f"{LEX} SELECT doc_id, rank FROM ranked")
 def hybrid_fallback(spark, d):
     """The embedder fails: the BM25 order stands."""
@@ -427,11 +504,18 @@ def simhash_fingerprint(spark, d):
     return dedup.fingerprints(docs_of(spark, d))
 
 
-@register("near_dup_pairs", f"WITH {FP} SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.fp, b.fp))::INT AS distance FROM fp a JOIN fp b ON a.doc_id < b.doc_id AND bit_count(xor(a.fp, b.fp)) <= 3 WHERE a.fp <> 0 AND b.fp <> 0")
+@register("near_dup_pairs", f"WITH {FP}, c AS (SELECT fp, min(doc_id) AS id FROM fp WHERE fp <> 0 GROUP BY fp) SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.fp, b.fp))::INT AS distance FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.fp, b.fp)) <= 3")
 def near_dup_pairs(spark, d):
+    """Pairs of different fingerprints, each by the least id that has it."""
     return dedup.near_pairs(dedup.fingerprints(docs_of(spark, d)))
 
 
+@register("near_dup_members", f"WITH {FP} SELECT doc_id, CASE WHEN fp = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY fp) END AS class_id, CASE WHEN fp = 0 THEN 1 ELSE count(*) OVER (PARTITION BY fp) END AS copies FROM fp")
+def near_dup_members(spark, d):
+    """The documents that each fingerprint stands for."""
+    return dedup.members(dedup.fingerprints(docs_of(spark, d)))
+
+
 # ---- crawl -----------------------------------------------------------------
 
 
@@ -459,7 +543,8 @@ def redirect_chains(spark, d):
     return crawl.redirect_targets(links, nation.select(name(F.col("n_nationkey")).alias("url")))
 
 
-@register("robots_policy")
+@register("robots_policy", """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, [200, 404, 503][(page_id % 3 + 1)::INT] AS status FROM pages)
+    SELECT page_id, status, CASE status WHEN 404 THEN true WHEN 200 THEN CASE WHEN regexp_matches(path, '^/.*[.]html$') THEN false WHEN starts_with(path, '/de/1') THEN true ELSE NOT starts_with(path, '/de/') END ELSE false END AS allowed FROM p""")
 def robots_policy(spark, d):
     """Page paths against a robots file, by the status with which it came."""
     body = "User-agent: *\nDisallow: /de/\nAllow: /de/1\nDisallow: /*.html$\n"
@@ -467,11 +552,39 @@ def robots_policy(spark, d):
     return pages.select("page_id", "status", crawl.robots_decision(F.col("status"), crawl.robots_rules("siltstone")(F.lit(body), F.col("path"))).alias("allowed"))
 
 
-@register("link_discovery")
+@register("link_discovery", """WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS host, list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS found, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hrefs FROM pages),
+    l AS (SELECT page_id, host, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS i FROM h),
+    t AS (SELECT page_id, i, CASE WHEN starts_with(href, '/') THEN host || url_decode(regexp_extract(href, '^[^?#]*')) WHEN starts_with(href, host || '/') THEN url_decode(regexp_extract(href, '^[^?#]*')) END AS link FROM l),
+    d AS (SELECT page_id, link, min(i) AS i FROM t WHERE link IS NOT NULL GROUP BY ALL)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS seq, link FROM d""")
 def link_discovery(spark, d):
     return crawl.discovered(pages_of(spark, d))
 
 
+@register("fetch_states", """WITH l AS (SELECT page_id AS seq, url, [200, 404, 503][(page_id % 3 + 1)::INT] AS robots_status, page_id % 5 <> 0 AS allowed, CASE WHEN page_id % 7 = 0 THEN 500 ELSE 200 END AS status FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 100000, url FROM pages WHERE page_id % 4 = 0)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS nth FROM l)
+    SELECT seq, url, CASE WHEN nth > 1 THEN 'seen' WHEN robots_status = 503 OR (robots_status = 200 AND NOT allowed) THEN 'disallowed' WHEN status = 200 THEN 'fetched' ELSE 'failed' END AS state FROM n""")
+def fetch_states(spark, d):
+    """A log in which some addresses come again."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    every = pages.unionByName(pages.where("page_id % 4 = 0").withColumn("page_id", F.col("page_id") + 100_000))
+    log = every.select(F.col("page_id").alias("seq"), "url", F.element_at(F.array(F.lit(200), F.lit(404), F.lit(503)), (F.pmod("page_id", F.lit(3)) + 1).cast("int")).alias("robots_status"), (F.pmod("page_id", F.lit(5)) != 0).alias("allowed"), F.when(F.pmod("page_id", F.lit(7)) == 0, 500).otherwise(200).alias("status"))
+    return crawl.fetch_states(log).select("seq", "url", "state")
+
+
+@register("content_archive", "SELECT sha256(html) AS sha, min(page_id) AS page_id, count(*) AS times, any_value(octet_length(encode(html)))::BIGINT AS bytes FROM pages GROUP BY 1")
+def content_archive(spark, d):
+    return crawl.archived(table(spark, d, "pages"))
+
+
+@register("listing_split", f"""WITH p AS (SELECT page_id, url, CASE WHEN contains(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/en/') THEN 'listing' WHEN url IN ({KNOWN}) THEN 'known' ELSE 'content' END AS kind FROM pages),
+    c AS (SELECT page_id FROM p WHERE kind = 'content' ORDER BY page_id LIMIT 40)
+    SELECT page_id, url, CASE WHEN kind = 'content' AND page_id > (SELECT max(page_id) FROM c) THEN 'over' ELSE kind END AS kind FROM p""")
+def listing_split(spark, d):
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return crawl.split_listings(pages, "/en/", pages.where("url LIKE 'https%'"))
+
+
 @register("passage_extract")
 def passage_extract(spark, d):
     return crawl.extracted(pages_of(spark, d), html.Extractors(default=_article))
@@ -508,7 +621,7 @@ def evaluated(spark, d) -> DataFrame:
     ranking = rank.ranked(rank.bm25(docs_of(spark, d), bench_terms(spark, d)), 10)
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     qrels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("relevance"))
-    return evaluate.by_query(queries, ranking, queries.crossJoin(qrels), 10)
+    return evaluate.by_query(queries, ranking, qrels, 10)
 
 
 @register("precision_at_10", f"{EVAL} SELECT query_id, round(p_at_k, 6) AS p_at_k, round(rr, 6) AS rr FROM e")

@@ -6,6 +6,7 @@ import functools
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -32,6 +33,8 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(folder, f)
                     z.write(path, os.path.relpath(path, ROOT))
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        shared_dir(spark)  # refuses a cluster
     if root:  # the folder that all machines share
         name = context._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/siltstone-{context.applicationId}.zip")
         out = name.getFileSystem(context._jsc.hadoopConfiguration()).create(name, True)
@@ -46,6 +49,30 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder in the cluster's checkpoint directory.
+
+    The setting is read from the session.  Only where it is unset and all runs
+    on this machine, as in tests, is a folder of this machine used; a cluster
+    without the setting is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "siltstone-checkpoints")
+    return f"{root.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
+
+
+def lasting_dir(spark: SparkSession) -> str:
+    """The same, deleted when the application ends."""
+    path = shared_dir(spark)
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(name)
+    return path
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """A table in fewer pieces than there are cores, dealt out to all of them.
 

@@ -16,16 +16,27 @@ QUERY = T.StructType([T.StructField("query", T.StringType()), T.StructField("not
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no`` (from 0), ``line`` of a text file, in file order."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """``line_no`` (from 0), ``line`` of text files, in the order of files and lines."""
+    return _numbered(_placed(spark, path), "line_no").select("line_no", "line")
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file, its piece, and an order inside the piece: files are split as usual."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__piece"), F.monotonically_increasing_id().alias("__at"), F.col("value").alias("line"))
+
+
+def _numbered(placed: DataFrame, into: str) -> DataFrame:
+    """Numbers from 0: pieces are counted, and each then numbers its own lines from its first."""
+    before = Window.orderBy("__file", "__piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("__file", "__piece").agg(F.count("*").alias("__n"))
+    first = counts.select("__file", "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    within = Window.partitionBy("__file", "__piece").orderBy("__at")
+    return placed.join(first, ["__file", "__piece"]).withColumn(into, (F.col("__first") + F.row_number().over(within) - 1).cast("long"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """``doc_id`` (order of the lines that aren't blank) and the fields; a bad line fails."""
-    rows = lines(spark, path).where(F.trim("line") != "")
-    ids = rows.withColumn("doc_id", (F.row_number().over(Window.orderBy("line_no")) - 1).cast("long"))
-    held = ids.select("doc_id", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
+    held = _numbered(_placed(spark, path).where(F.trim("line") != ""), "doc_id").select("doc_id", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
     return held.select("doc_id", *[F.coalesce(f"r.{f.name}", F.lit("")).alias(f.name) for f in schema.fields])
 
 
@@ -71,6 +82,11 @@ def replayed(log: DataFrame, schema: T.StructType | str, order: str = "line_no",
     return read.crossJoin(F.broadcast(bad)).where(F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))).select(order, *[f"r.{f.name}" for f in kind.fields])
 
 
+def rewritten(existing: DataFrame, new: DataFrame, key: str = "source_url") -> DataFrame:
+    """A corpus with the new rows after the old ones; pages that it had aren't taken again."""
+    return existing.unionByName(new.join(existing.select(key).distinct(), key, "left_anti").select(*existing.columns))
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.text import tokenized
+from ..operators.index import segment_docs
 
 
 def log(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -59,12 +60,22 @@ def scheduled(stream: DataFrame, delay_s: float = 5.0) -> DataFrame:
 
 
 def append_segments(passages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch becomes a segment, overwritten if the batch is run again."""
+    """Each batch becomes a segment, overwritten if the batch is run again.
+
+    The tables are those of ``index.write_index``, so ``index.Index`` opens them.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        held = tokenized(batch)
+        held = tokenized(segment_docs(batch, F.lit(number)))
         post = held.select("doc_id", F.posexplode("tokens").alias("pos", "term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-        post.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/segment_id={number}")
-        held.select("doc_id", F.size("tokens").cast("long").alias("dl")).write.mode("overwrite").parquet(f"{path}/documents/segment_id={number}")
+        post.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/segment_id={number}")
+        held.select("local_id", "doc_id", F.size("tokens").cast("long").alias("dl")).write.mode("overwrite").parquet(f"{path}/documents/segment_id={number}")
+        stored = batch.sparkSession.read.parquet(f"{path}/postings/segment_id={number}")
+        stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/dictionary/segment_id={number}")
 
     return passages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Adds entries to a log of JSON files; a batch is there as a whole or not at all."""
+    entries.write.mode("append").json(path)

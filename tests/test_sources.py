@@ -104,6 +104,49 @@ def test_segments_from_a_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ix/postings")).where("term = 'cast'").head()["positions"] == [1]
 
 
+def test_a_streamed_index_is_searched(spark, tmp_path):
+    from siltstone.operators import index, rank
+
+    src = tmp_path / "p"
+    src.mkdir()
+    docs = [(1, "white cast"), (2, "no cast here"), (3, "white paper")]
+    for k, (i, t) in enumerate(docs):
+        (src / f"{k}.json").write_text(json.dumps({"doc_id": i, "text": t}) + "\n")
+        rows = spark.readStream.schema("doc_id long, text string").json(str(src))
+        stream.append_segments(rows, str(tmp_path / "ix"), str(tmp_path / "c")).awaitTermination(120)
+    held = index.Index(spark, str(tmp_path / "ix"))
+    terms = rank.query_terms(spark, {0: "white cast"})
+    whole = rank.bm25(spark.createDataFrame(docs, "doc_id long, text string"), terms)
+    ranked = lambda rows: sorted((r["doc_id"], round(r["score"], 9)) for r in rows.collect())
+    assert ranked(rank.bm25_index(held, terms)) == ranked(whole) and held.documents.select("segment_id").distinct().count() == 3
+    assert [r["doc_id"] for r in rank.with_phrase_index(held, "white cast").collect()] == [1]
+
+
+def test_log_is_appended_and_replayed(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for part in (["a", "b"], ["c"]):
+        stream.append_log(spark.createDataFrame([(u,) for u in part], "url string"), path)
+    assert sorted(r["url"] for r in files.replayed(files.lines(spark, path), "url string").collect()) == ["a", "b", "c"]
+
+
+def test_lines_are_numbered_over_files_and_pieces(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.jsonl").write_text("".join(json.dumps({"text": f"t{k}-{i}", "source": "x" * (i % 7)}) + "\n" * (1 + i % 2) for i in range(200)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = files.experiences(spark, str(tmp_path)).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r["doc_id"], r["text"]) for r in got] == [(200 * k + i, f"t{k}-{i}") for k in range(3) for i in range(200)]
+
+
+def test_corpus_is_rewritten_with_new_pages(spark):
+    kind = "source_url string, text string"
+    old, new = spark.createDataFrame([("u1", "a")], kind), spark.createDataFrame([("u1", "b"), ("u2", "c"), ("u2", "d")], kind)
+    assert sorted(map(tuple, files.rewritten(old, new).collect())) == [("u1", "a"), ("u2", "c"), ("u2", "d")]
+
+
 def test_search_answer(spark):
     docs = spark.createDataFrame([(0, "white <b> cast", "s", "deep"), (1, "other words", "t", None), (2, "cast iron", "u", None)], "doc_id long, text string, source string, skin_tone string")
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (9, [0.9, 0.1])], "vec_id long, embedding array<float>")
