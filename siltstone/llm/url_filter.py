@@ -6,9 +6,11 @@ suffix and suffix pair are and, from the labelled URLs, their smoothed rate of
 unwanted ones.  Trees are grown on the gradient of the logistic loss over
 feature histograms; leaves take Newton steps.
 
-Labels come with a table of URLs.  The registered query labels the URLs of the
-crawl by a list of known hosts, as a blocklist would; the trees see only the
-lexical features, never the host itself.
+Labels come with a table of URLs.  The registered query learns from the URLs
+of ``url_labels``, labelled by hand, of which no host is in the crawl that it
+scores.  Where a list of unwanted hosts is at hand, ``labelled_by_hosts`` labels
+a crawl's own URLs by it; the trees see only the lexical features, never the
+host itself.
 
 Defined results
 ---------------
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import column, extended, tuned
+from .url_labels import LABELLED
 
-BLOCKED = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
 RESULT = ("score", "keep")
 BINS = 32
 
@@ -235,7 +237,7 @@ def filter_urls(rows: DataFrame, model: Trees, url: str = "url", most: float = 0
     return extended(rows, [url], run, result, keep=keep)
 
 
-def labelled_by_hosts(pages: DataFrame, blocked: tuple[str, ...] = BLOCKED) -> DataFrame:
+def labelled_by_hosts(pages: DataFrame, blocked: tuple[str, ...]) -> DataFrame:
     """The distinct URLs with label 1 where a label of the host is on the list."""
     host = F.split(F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/?#:]*)", 1), r"\.")
     return pages.select("url").where("url is not null").distinct().select("url", F.arrays_overlap(host, F.array(*map(F.lit, blocked))).cast("int").alias("label"))
@@ -244,4 +246,4 @@ def labelled_by_hosts(pages: DataFrame, blocked: tuple[str, ...] = BLOCKED) -> D
 def query(spark, sf_dir: str) -> DataFrame:
     """Every page's URL, scored and kept or not."""
     pages = tuned(spark).read.parquet(f"{sf_dir}/pages.parquet")
-    return filter_urls(pages, train(labelled_by_hosts(pages)), keep=("page_id", "url"))
+    return filter_urls(pages, train(spark.createDataFrame(LABELLED, "url string, label int")), keep=("page_id", "url"))
