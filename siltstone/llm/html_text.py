@@ -55,6 +55,9 @@ LABELLED = [
     (1, 1.0, 0, 0.0, 1, 1.0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 0), (3, 1.0, 2, 1.0, 1, 1.0, 0),
     (1, 1.0, 1, 1.0, 8, 0.0, 0), (2, 1.0, 1, 1.0, 12, 0.0, 0), (5, 1.0, 4, 1.0, 6, 1.0, 0), (9, 0.9, 7, 1.0, 5, 1.0, 0),
     (14, 0.85, 9, 0.9, 3, 1.0, 0), (6, 1.0, 40, 0.0, 5, 1.0, 0), (20, 0.8, 12, 0.7, 18, 0.9, 0), (4, 0.75, 3, 1.0, 5, 0.6, 0),
+    (1, 1.0, 0, 0.0, 2, 1.0, 0), (2, 1.0, 0, 0.0, 1, 1.0, 0), (3, 1.0, 0, 0.0, 4, 1.0, 0), (4, 1.0, 0, 0.0, 3, 1.0, 0),
+    (1, 1.0, 1, 1.0, 60, 0.0, 0), (2, 1.0, 1, 1.0, 40, 0.0, 0), (3, 1.0, 2, 1.0, 90, 0.0, 0), (1, 1.0, 1, 1.0, 120, 0.0, 0),
+    (45, 0.95, 6, 1.0, 8, 0.0, 0), (60, 0.9, 0, 0.0, 30, 0.0, 0), (38, 1.0, 3, 1.0, 20, 0.0, 0), (52, 0.9, 12, 0.8, 5, 1.0, 0),
     # advertisements and notices between menu and text, or after it
     (8, 0.0, 1, 1.0, 9, 0.0, 0), (5, 0.0, 2, 1.0, 11, 0.0, 0), (12, 0.0, 1, 1.0, 7, 0.0, 0), (3, 0.0, 1, 1.0, 10, 0.0, 0),
     (9, 0.0, 1, 1.0, 30, 0.0, 0), (15, 0.0, 1, 1.0, 8, 0.0, 0), (20, 0.0, 1, 1.0, 9, 0.0, 0), (11, 0.0, 3, 1.0, 12, 0.0, 0),
@@ -72,6 +75,11 @@ LABELLED = [
     (45, 0.0, 30, 0.0, 50, 0.0, 1), (60, 0.05, 12, 0.0, 70, 0.0, 1), (120, 0.0, 9, 0.0, 40, 0.1, 1), (33, 0.1, 60, 0.0, 22, 0.0, 1),
     (80, 0.15, 55, 0.1, 90, 0.0, 1), (26, 0.0, 40, 0.0, 6, 0.0, 1), (200, 0.02, 150, 0.0, 12, 0.0, 1), (50, 0.2, 44, 0.1, 38, 0.3, 1),
     (70, 0.0, 20, 0.0, 14, 0.0, 1), (90, 0.0, 1, 1.0, 60, 0.0, 1), (55, 0.0, 2, 1.0, 48, 0.0, 1), (300, 0.01, 8, 0.0, 10, 0.0, 1),
+    # only paragraphs, last ones, and first ones right after a menu
+    (12, 0.0, 0, 0.0, 0, 0.0, 1), (25, 0.0, 0, 0.0, 0, 0.0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 1), (70, 0.05, 0, 0.0, 0, 0.0, 1),
+    (18, 0.0, 0, 0.0, 50, 0.0, 1), (35, 0.0, 0, 0.0, 30, 0.0, 1), (9, 0.0, 0, 0.0, 40, 0.0, 1), (60, 0.0, 0, 0.0, 80, 0.0, 1),
+    (38, 0.0, 50, 0.0, 0, 0.0, 1), (42, 0.0, 80, 0.0, 0, 0.0, 1), (55, 0.0, 35, 0.0, 0, 0.0, 1), (48, 0.0, 120, 0.0, 0, 0.0, 1),
+    (32, 0.0, 1, 1.0, 60, 0.0, 1), (40, 0.0, 1, 1.0, 45, 0.0, 1), (36, 0.0, 2, 1.0, 70, 0.0, 1), (45, 0.0, 1, 1.0, 30, 0.0, 1),
     (64, 0.0, 5, 0.0, 0, 0.0, 1), (150, 0.0, 30, 0.0, 0, 0.0, 1), (75, 0.0, 1, 1.0, 8, 0.0, 1), (40, 0.3, 35, 0.2, 50, 0.0, 1),
 ]
 

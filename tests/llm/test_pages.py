@@ -1,10 +1,13 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import html_text as H
 from siltstone.llm import url_filter as U
 
 PAGES = "/root/testdata/sf0.01/pages.parquet"
+#: The unwanted hosts of the test pages: what the filter must find without being told.
+BLOCKED = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
 
 
 def test_blocks():
@@ -73,7 +76,7 @@ def test_trees_learn_a_rule():
 def test_held_out_hosts(spark):
     """URLs that weren't in the training half."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    labelled = U.labelled_by_hosts(pages)
+    labelled = U.labelled_by_hosts(pages, BLOCKED)
     half = "pmod(xxhash64(url), 2) = {}"
     model = U.train(labelled.where(half.format(0)))
     got = U.filter_urls(labelled.where(half.format(1)), model).toPandas()
@@ -84,10 +87,10 @@ def test_held_out_hosts(spark):
 def test_hard_urls(spark):
     rows = [(1, None, 1.0), (2, "", 0.0), (2, "", 0.0), (3, "http://", None), (4, "http://a.b/" + "x" * 200_000, None), (None, "ünï://\U0001f600", None)]
     table = spark.createDataFrame(rows, "page_id long, url string, score double")
-    model = U.train(U.labelled_by_hosts(table))
+    model = U.train(U.labelled_by_hosts(table, BLOCKED))
     out = U.filter_urls(table, model)
     assert out.columns == ["page_id", "url", "score", "keep"] and out.count() == 6
-    assert U.filter_urls(table.limit(0), U.train(U.labelled_by_hosts(table.limit(0)))).count() == 0
+    assert U.filter_urls(table.limit(0), U.train(U.labelled_by_hosts(table.limit(0), BLOCKED))).count() == 0
 
 
 def test_decisions_do_not_follow_max_rows(spark):
@@ -102,3 +105,97 @@ def test_decisions_do_not_follow_max_rows(spark):
     assert ((whole.score(urls) < 0.5) == (part.score(urls) < 0.5)).all()
     assert abs(whole.score(urls).mean() - part.score(urls).mean()) < 0.02
     assert part.rates == whole.rates and part.rates["com"][0] == pytest.approx(np.log1p(6000))
+
+
+def area(bad, good):
+    return (bad[:, None] > good[None, :]).mean() + 0.5 * (bad[:, None] == good[None, :]).mean()
+
+
+def test_hosts_that_were_never_labelled(spark):
+    """The registered query, trained on the table of labelled URLs, against the test pages' hosts."""
+    d = "/root/testdata/sf0.1"
+    truth = U.labelled_by_hosts(spark.read.parquet(f"{d}/pages.parquet"), BLOCKED)
+    got = U.query(spark, d).join(truth, "url").toPandas()
+    assert not {U.parts(u)[0] for u, _ in U.LABELLED} & {U.parts(u)[0] for u in got.url}
+    assert area(got[got.label == 1].score.to_numpy(), got[got.label == 0].score.to_numpy()) > 0.95
+    assert got[got.label == 0].keep.mean() > 0.98 and 1 - got[got.label == 1].keep.mean() > 0.8
+
+
+def test_hosts_held_out(spark):
+    """Every host is wholly in one half."""
+    rows = spark.createDataFrame(U.LABELLED, "url string, label int").withColumn("half", F.pmod(F.xxhash64(F.regexp_extract("url", r"^[a-z]+://(?:[^/]*[.])?([^./]+[.][^./]+)(?:/|$)", 1)), F.lit(2)))
+    scores = {0: [], 1: []}
+    for k in (0, 1):
+        model = U.train(rows.where(F.col("half") != k))
+        for r in rows.where(F.col("half") == k).collect():
+            scores[r["label"]].append(model.score([r["url"]])[0])
+    assert area(np.array(scores[1]), np.array(scores[0])) > 0.9
+
+
+def test_scores_match_walking_each_tree():
+    """Brute force: a URL's leaf in every tree, one after the other."""
+    x = np.array([U.lexical(u, {"": (0.0, 0.5)}) for u, _ in U.LABELLED])
+    model = U.grow(x, np.array([y for _, y in U.LABELLED], dtype=float))
+    raw = model.raw(x)
+    assert len(model.trees) == 60
+    for row, got in zip(x, raw):
+        total = model.base
+        for feature, cut, value in model.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = 2 * at + (2 if row[feature[at]] > cut[at] else 1)
+            total += model.rate * value[at]
+        assert got == pytest.approx(total)
+
+
+def test_blocks_match_another_parser():
+    """Word counts and link densities of simple pages against the standard parser."""
+    import random
+    from html.parser import HTMLParser
+
+    class Flat(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.words, self.linked, self.link = [], 0, 0, False
+
+        def end(self):
+            if self.words:
+                self.out.append((self.words, self.linked / self.words))
+            self.words = self.linked = 0
+
+        def handle_starttag(self, tag, attrs):
+            self.link = True if tag == "a" else self.link
+            if tag in H.BLOCKS:
+                self.end()
+
+        def handle_endtag(self, tag):
+            self.link = False if tag == "a" else self.link
+            if tag in H.BLOCKS:
+                self.end()
+
+        def handle_data(self, data):
+            self.words += len(data.split())
+            self.linked += len(data.split()) * self.link
+
+    rng = random.Random(8)
+    for _ in range(200):
+        page = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<b> ", " </b>", "<a href='x'> ", " </a>", "<br>", "<ul><li>", "</li></ul>", "one two ", "three ", "&amp; "]) for _ in range(60))
+        brute = Flat()
+        brute.feed(page)
+        brute.close()
+        brute.end()
+        assert [(n, d) for _, n, d in H.blocks(page)] == [(n, pytest.approx(d)) for n, d in brute.out], page
+
+
+def test_plain_pages_without_menu_or_footer():
+    words = "a plain sentence of several words that says something about the matter at hand ".split()
+
+    def text(n):
+        return " ".join(words[i % len(words)] for i in range(n))
+
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Item</a></li>" for i in range(6)) + "</ul>"
+    for n in (25, 40, 60):
+        assert H.extract(f"<p>{text(n)}</p>")[0] == text(n), n
+        assert H.extract(f"<p>{text(80)}</p><p>{text(n + 15)}</p>")[0].count("\n") == 1, n
+        assert text(n + 10) in H.extract(f"{menu}<p>{text(n + 10)}</p><p>{text(70)}</p>")[0], n
+    assert "Item" not in H.extract(f"{menu}<p>{text(60)}</p>")[0]

@@ -44,3 +44,18 @@ def test_hard_tables(spark, hard_docs, empty_docs):
     assert quality_rank.classify(empty_docs, labels).count() == 0
     free = quality_rank.classify(hard_docs, labels.limit(0))
     assert free.where("keep and score = 0").count() == 13
+
+
+def test_fit_reaches_the_least_loss():
+    """The weights against a brute-force minimiser of the same loss (Newton steps, few features)."""
+    rng = np.random.default_rng(2)
+    dense = rng.normal(size=(60, 3))
+    value = dense @ np.array([1.0, -0.5, 0.2]) + rng.normal(size=60)
+    better, worse = quality_rank.pairs(value, 3000)
+    d = dense[better] - dense[worse]
+    w = np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-5 * np.eye(3), d.T @ p / len(d) - 1e-5 * w)
+    got = quality_rank.fit_pairs(np.zeros(61, np.int64), np.zeros(0, np.int32), np.zeros(0), dense, better, worse).dense
+    assert np.abs(got - w).max() < 0.02
