@@ -139,6 +139,8 @@ def scratch(spark: SparkSession):
 
 # ---- joins of texts with tables of keys ------------------------------------
 
+#: A table of keys that is sent to texts as it is has so many rows at most: some 70 MB.
+BROADCAST_ROWS = 200_000
 #: A filter of keys never has more bytes; with more than some 20 million keys it
 #: lets more rows through, which the join then settles.
 FILTER_BYTES = 32 << 20

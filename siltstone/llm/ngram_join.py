@@ -26,9 +26,12 @@ Method
    shares most index entries.  Then all pairs of nodes that share an entry and
    aren't yet in one component are verified, exactly, on their whole sets.
 
-Scale: texts are never shuffled while the survivors of step 1 can be sent to
-the scan (``broadcast_rows``; beyond that they are joined).  N-grams are moved
-as packed arrays, a row per slice of documents and bucket.
+Scale: the survivors of step 1 are sent to the scan of the texts, up to
+``broadcast_rows`` of them; beyond that a filter of bounded size is, and only
+texts that it lets through are shuffled.  N-grams are moved as packed arrays, a
+row per slice of documents and bucket; a set's id, size and bitmap go to every
+bucket in which it has keys, so that part of the shuffle grows with the number
+of buckets until a set has about one key in each.
 
 Defined results
 ---------------
@@ -51,7 +54,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .frames import by_bucket, by_place, column, joined, saved, scratch, tuned, ways
+from .frames import BROADCAST_ROWS, by_bucket, by_place, column, joined, saved, scratch, tuned, ways
 from .textarrays import buffers, mix, ngrams, slices, unique_by_row, words
 
 N = 3
@@ -484,7 +487,7 @@ def crossing(entered: DataFrame, threshold: float) -> DataFrame:
 # ---- step 3: verification and groups ---------------------------------------
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float, broadcast_rows: int = 1_000_000) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold, with ``jaccard``.
 
     The pairs are sent to the sets while they are few, so that only the sets
@@ -535,12 +538,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return alone.unionByName(labels)
 
 
-def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000, hot_rows: int = 500_000, tries: int = 1) -> DataFrame:
+def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = 500_000, tries: int = 1) -> DataFrame:
     """The groups of the exact join: see the module.  Only the result's table is kept."""
     return members(docs, n, threshold, text, doc_id, broadcast_rows, hot_rows, tries).select("doc_id", "group_id", "partner_id", "jaccard")
 
 
-def members(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000, hot_rows: int = 500_000, tries: int = 1) -> DataFrame:
+def members(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = 500_000, tries: int = 1) -> DataFrame:
     """The groups with ``tid``, the hash of the text that is meant, and ``head``.
 
     The head of a group is one text of its least id: the one of the least hash.
@@ -611,7 +614,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     return groups(spread(tuned(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
-def stage(spark, docs: DataFrame, sf_dir: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+def stage(spark, docs: DataFrame, sf_dir: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pipeline stage: of each group only one text of the least id stays.
 
     Rows go by id and text: where an id stands on several texts, those in no

@@ -22,6 +22,9 @@ cut.  Where passages overlap, words that any of them cuts go.
 Scale: collections hold at most ``CHUNK`` windows.  An anchor with more of them
 is cut into several collections, whose classes of equal passages are then
 joined by hash, so nothing is missed and no collection grows with the data.
+Cuts are sent to the texts while no more than ``broadcast_rows`` texts have
+any; beyond that a filter of bounded size is, and only the texts that it lets
+through are shuffled.
 A collection is a few MB, so its columns are kept in memory, one array after
 another, where the published method keeps them in files: a folder of the
 machine wouldn't survive it, and a shared one would be read every round.
@@ -48,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import spread
-from .frames import by_bucket, by_place, column, joined, partitions, saved, scratch, tuned
+from .frames import BROADCAST_ROWS, by_bucket, by_place, column, joined, partitions, saved, scratch, tuned
 from .ngram_join import _batches, _bucket_of, _gathered, _spread
 from .textarrays import SPACE, _powers, buffers, mix, slices, words
 
@@ -413,7 +416,7 @@ def cut_words(text: str, starts: list[int], ends: list[int]) -> str:
     return data[keep].tobytes().decode("utf-8", "surrogatepass").rstrip() if not keep.all() else text
 
 
-def without_passages(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+def without_passages(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The documents with all but the first place of each passage cut.
 
     ``n_chars`` follows the text; a document of which no word is left goes.
