@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -16,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
 from .textarrays import mix
 
 #: Arrow batches handed to Python hold about so many bytes, whatever the rows'
@@ -72,22 +70,6 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder in the cluster's checkpoint directory.
-
-    The setting is read from the session.  Only where it is unset and all runs
-    on this machine, as in tests, is a folder of this machine used; a cluster
-    without the setting is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "siltstone-checkpoints")
-    return f"{root.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-
-
 #: The tables that the innermost ``scratch`` of this thread deletes.
 _scope: ContextVar[list[str] | None] = ContextVar("siltstone_scope", default=None)
 
