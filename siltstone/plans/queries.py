@@ -141,6 +141,27 @@ def url_canonical(spark, d):
     return pages_of(spark, d).select("page_id", canonical_url("url").alias("canonical"))
 
 
+@register("url_canonical_cases", """WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages)
+    SELECT page_id, scheme || '://' || host || CASE WHEN page_id % 4 = 3 THEN ':8080' ELSE '' END || CASE page_id % 5 WHEN 0 THEN '/x/~z%2F/' WHEN 1 THEN '/b' WHEN 2 THEN '/' WHEN 3 THEN '/a/b' ELSE '' END || '?a=A+b&b=2&b=1' AS canonical FROM p""")
+def url_canonical_cases(spark, d):
+    """Addresses with capitals, ports, escapes, dot segments and fragments, made of the pages' own."""
+    scheme, host = F.parse_url("url", F.lit("PROTOCOL")), F.parse_url("url", F.lit("HOST"))
+    nth = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (F.pmod("page_id", F.lit(n)) + 1).cast("int"))
+    port = F.when(F.pmod("page_id", F.lit(4)) == 3, ":8080").when(F.pmod("page_id", F.lit(4)) == 2, F.when(scheme == "https", ":443").otherwise(":80")).otherwise("")
+    made = F.concat(F.upper(scheme), F.lit("://"), F.upper(host), port, nth(5, "/x/./y/../%7Ez%2f/", "/a/../b", "/", "//a//b", ""), F.lit("?b=2&a=%41%20b&b=1#top"))
+    return pages_of(spark, d).select("page_id", canonical_url(made).alias("canonical"))
+
+
+WIDE = "".join(chr(0xFEE0 + ord(c)) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+
+@register("token_folding", f"WITH {HELD} SELECT doc_id, array_to_string(toks, ' ') AS terms FROM held")
+def token_folding(spark, d):
+    """Terms of the texts in full-width letters, which compatibility folding makes narrow again."""
+    wide = docs_of(spark, d).select("doc_id", F.translate("text", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", WIDE).alias("text"))
+    return tokenized(wide).select("doc_id", F.array_join("tokens", " ").alias("terms"))
+
+
 # ---- index -----------------------------------------------------------------
 
 
@@ -454,7 +475,16 @@ def snippet_window(spark, d):
     return snippet.windows(docs_of(spark, d), TERMS)
 
 
-@register("snippet_html")
+ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&#34;'), chr(39), '&#39;')"
+
+
+@register("snippet_html", rf"""WITH r AS (SELECT doc_id, text, regexp_extract_all(text, '\p{{L}}+|\p{{Nd}}+') AS toks, regexp_split_to_array(text, '\p{{L}}+|\p{{Nd}}+') AS gaps FROM documents),
+  u AS (SELECT doc_id, unnest(toks) AS tok, unnest(gaps[1:len(toks)]) AS gap, generate_subscripts(toks, 1) - 1 AS pos, len(toks) AS n FROM r),
+  h AS (SELECT *, (lower(tok) IN ('the', 'nation', 'of', 'erin', 'that'))::INT AS hit FROM u),
+  w AS (SELECT doc_id, pos AS s, n, sum(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS score FROM h),
+  b AS (SELECT doc_id, s FROM w WHERE s <= n - least(n, 12) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, s) = 1),
+  e AS (SELECT doc_id, any_value(s) AS s, any_value(n) AS n, string_agg(CASE WHEN pos > s THEN {ESC.format('gap')} ELSE '' END || CASE WHEN hit = 1 THEN '<mark>' || {ESC.format('tok')} || '</mark>' ELSE {ESC.format('tok')} END, '' ORDER BY pos) AS body FROM h JOIN b USING (doc_id) WHERE pos BETWEEN s AND s + 11 GROUP BY doc_id)
+  SELECT r.doc_id, CASE WHEN len(toks) = 0 THEN {ESC.format('text')} ELSE CASE WHEN s > 0 THEN '… ' ELSE '' END || body || CASE WHEN s + 12 < n THEN ' …' ELSE '' END END AS snippet_html FROM r LEFT JOIN e USING (doc_id)""")
 def snippet_html(spark, d):
     return docs_of(spark, d).select("doc_id", snippet.snippet_html(F.col("text"), TERMS).alias("snippet_html"))
 
