@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, runs, tokenized
 
 K1, B = 1.5, 0.75
+#: Ties are numbered in stretches of 2 ** STRETCH ids.
+STRETCH = 20
 #: So many terms of all queries together are literals in the plan.
 FEW = 2000
 
@@ -94,16 +96,24 @@ def numbered(rows: DataFrame, by: Column, then: str, within: tuple[str, ...] = (
     """Adds each row's place from 1: ``by`` descending (none below 0), then ``then``.
 
     Without a limit all rows of a query have places, and one task would sort
-    them.  So rows fall into bands of values a thousandth apart; the counts of
-    the bands, a small table, give each band's first place, and only bands are
-    sorted.
+    them.  So rows fall into bands of values a thousandth apart, and where a band
+    has but one value, however many rows, into stretches of ``then``: of integers by
+    their higher bits, of strings by how they begin.
+    The counts of these pieces, a small table, give each one's first place, and
+    only pieces are sorted.
     """
-    held = rows.withColumn("__by", by).withColumn("__band", F.floor(F.log(F.greatest(F.col("__by").cast("double"), F.lit(1e-300))) * 1000))
-    before = Window.partitionBy(*within).orderBy(F.desc("__band")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = held.groupBy(*within, "__band").agg(F.count("*").alias("__n"))
-    offsets = counts.select(*within, "__band", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    place = Window.partitionBy(*within, "__band").orderBy(F.desc("__by"), then)
-    return held.join(offsets, [*within, "__band"]).select(*rows.columns, (F.row_number().over(place) + F.col("__before")).alias(into))
+    words = dict(rows.dtypes)[then] == "string"
+    part = F.substring(then, 1, 4) if words else F.shiftright(F.col(then).cast("long"), STRETCH)
+    held = rows.withColumn("__by", by).withColumn("__band", F.floor(F.log(F.greatest(F.col("__by").cast("double"), F.lit(1e-300))) * 1000)).withColumn("__part", F.coalesce(part, F.lit("") if words else F.lit(0).cast("long")))
+    counts = held.groupBy(*within, "__band", "__part").agg(F.count("*").alias("__n"), F.min("__by").alias("__lo"), F.max("__by").alias("__hi"))
+    band = Window.partitionBy(*within, "__band")
+    piece = F.when(F.min("__lo").over(band) == F.max("__hi").over(band), F.col("__part"))
+    pieces = counts.withColumn("__piece", F.coalesce(piece, F.lit("") if words else F.lit(0).cast("long"))).select(*within, "__band", "__part", "__piece", "__n")
+    before = Window.partitionBy(*within).orderBy(F.desc("__band"), "__piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.groupBy(*within, "__band", "__piece").agg(F.sum("__n").alias("__n")).select(*within, "__band", "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    named = pieces.drop("__n").join(offsets, [*within, "__band", "__piece"])
+    place = Window.partitionBy(*within, "__band", "__piece").orderBy(F.desc("__by"), then)
+    return held.join(named, [*within, "__band", "__part"]).select(*rows.columns, (F.row_number().over(place) + F.col("__before")).alias(into))
 
 
 def ranked(scores: DataFrame, k: int | None = None, id_column: str = "doc_id") -> DataFrame:

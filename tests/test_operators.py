@@ -240,3 +240,13 @@ def test_listings_known_skipped_and_over(spark):
     known = spark.createDataFrame([("http://a/p1",)], "url string")
     got = {r["page_id"]: r["kind"] for r in crawl.split_listings(pages, "^/tag/", known, ("a",), 1).collect()}
     assert got == {0: "listing", 1: "known", 2: "skipped", 3: "content", 4: "over", 5: "skipped"}
+
+
+def test_places_of_ties_in_stretches(spark, monkeypatch):
+    """Half of the rows tie; stretches of 8 ids; several queries."""
+    monkeypatch.setattr(rank, "STRETCH", 3)
+    rows = [(q, i, 1.5 if i % 2 else float(i % 7) / 10) for q in (0, 1) for i in range(100)]
+    got = rank.numbered(spark.createDataFrame(rows, "query_id long, doc_id long, score double"), F.col("score"), "doc_id", ("query_id",)).collect()
+    for q in (0, 1):
+        order = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        assert [(r["doc_id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(r[1], k + 1) for k, r in enumerate(order)]
