@@ -141,5 +141,12 @@ def origin(url: Column) -> Column:
 
 
 def shortened(text: Column, size: int) -> Column:
-    """For display: at most ``size`` characters, with dots where cut."""
-    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, size), F.lit("...")))
+    """For display: at most ``size`` bytes, with dots where cut; no character is cut in two."""
+    bytes_ = F.encode(text, "utf-8")
+    # a byte that goes on with a character is 10xxxxxx: at most three of them before its first
+    byte = lambda at: F.conv(F.hex(F.substring(bytes_, at, 1)), 16, 10).cast("int")
+    end = F.lit(0)
+    for back in range(3, -1, -1):
+        begins = F.coalesce((byte(size + 1 - back) < 128) | (byte(size + 1 - back) >= 192), F.lit(False)) if size >= back else F.lit(False)
+        end = F.when(begins, size - back).otherwise(end)
+    return F.when(F.octet_length(text) <= size, text).otherwise(F.concat(F.decode(F.substring(bytes_, F.lit(1), end), "utf-8"), F.lit("...")))

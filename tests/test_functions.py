@@ -160,3 +160,11 @@ def test_unknown_hosts_have_no_passages():
     assert known.passages(PAGE, "http://x.com/r") == []
     known.register("x.com", html.article_passages)
     assert known.passages(PAGE, "http://x.com/r") == [] and known.passages(None, None) == []
+
+
+def test_display_cuts_at_bytes_between_characters(spark):
+    texts = ["short", "a" * 12, "aé" * 6, "日本語日本語", "x\U0001f600y\U0001f600", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for size in (1, 2, 3, 4, 7, 10):
+        want = [None if t is None else t if len(t.encode()) <= size else t.encode()[:size].decode(errors="ignore") + "..." for t in texts]
+        assert [r[0] for r in rows.select(text.shortened(F.col("t"), size)).collect()] == want, size
