@@ -120,29 +120,54 @@ def survivors(nodes: DataFrame, n: int, threshold: float, cut: int) -> DataFrame
                     first = np.flatnonzero(np.diff(own, prepend=-1))
                     runs = np.diff(np.append(first, len(own))).astype(np.uint32)
                     out.append((b, key.tobytes(), tids[i + own[first]].tobytes(), runs.tobytes()))
+                # rows without keys: the nodes' numbers of distinct keys, once each
+                pairs = (owner.astype(U64) << U64(32)) | (grams & U64(0xFFFFFFFF))
+                pairs.sort()
+                size = np.bincount((pairs[np.append(True, pairs[1:] != pairs[:-1])] >> U64(32)).astype(np.int64), minlength=len(rows) - 1) if len(pairs) else np.zeros(len(rows) - 1, np.int64)
+                own = tids[i : i + len(size)]
+                for b, (t, n_) in _spread(_bucket_of(mix(own.view(U64)), cut), cut, own, size.astype(np.uint32)):
+                    out.append((b, b"", t.tobytes(), n_.tobytes()))
                 if out:
                     yield _batches(out, ["bucket", "keys", "tids", "runs"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
     def count(batches):
-        keys, tids, runs = _gathered(batches, np.uint32, np.int64, np.uint32)
-        if not len(keys):
+        keys, tids, runs, sizes = [], [], [], []
+        for batch in batches:
+            for b, k, t, r in zip(*(batch.column(c) for c in range(4))):
+                if not len(k.as_buffer()):
+                    sizes.append((b.as_py(), t.as_py(), bytes(4 * (len(r.as_buffer()) // 4)), r.as_py()))
+                    continue
+                keys.append(np.frombuffer(k.as_buffer(), dtype=np.uint32))
+                tids.append(np.frombuffer(t.as_buffer(), dtype=np.int64))
+                runs.append(np.frombuffer(r.as_buffer(), dtype=np.uint32))
+        kinds = ["bucket", "tids", "shared", "sizes"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        if sizes:
+            yield _batches(sizes, *kinds)
+        if not keys:
             return
-        names, node = np.unique(tids, return_inverse=True)
-        pairs = (keys.astype(U64) << U64(32)) | np.repeat(node.astype(U64), runs)
-        del keys
+        keys = np.concatenate(keys)
+        names, node = np.unique(np.concatenate(tids), return_inverse=True)
+        pairs = (keys.astype(U64) << U64(32)) | np.repeat(node.astype(U64), np.concatenate(runs))
+        del keys, tids, runs
         pairs.sort()
         pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
         key, node = pairs >> U64(32), (pairs & U64(0xFFFFFFFF)).astype(np.int64)
         same = key[1:] == key[:-1]
         shared = np.append(False, same) | np.append(same, False)
         some = np.bincount(node[shared], minlength=len(names)).astype(np.int32)
-        size = np.bincount(node, minlength=len(names)).astype(np.int32)
-        yield _batches([(b, t.tobytes(), c.tobytes(), s.tobytes()) for b, (t, c, s) in _spread(_bucket_of(mix(names.view(U64)), cut), cut, names, some, size)], ["bucket", "tids", "shared", "sizes"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+        # nodes that share nothing here needn't be named
+        names, some = names[some > 0], some[some > 0]
+        out = [(b, t.tobytes(), c.tobytes(), bytes(4 * len(c))) for b, (t, c) in _spread(_bucket_of(mix(names.view(U64)), cut), cut, names, some)]
+        if out:
+            yield _batches(out, *kinds)
 
     def total(batches):
         tids, some, size = _gathered(batches, np.int64, np.int32, np.int32)
         names, node = np.unique(tids, return_inverse=True)
-        some, size = np.bincount(node, some, len(names)), np.bincount(node, size, len(names))
+        # a repeated row tells its size again
+        most = np.zeros(len(names))
+        np.maximum.at(most, node, size)
+        some, size = np.bincount(node, some, len(names)), most
         # one more for a long set: two of its own n-grams may have one 32-bit key
         kept = (some > 0) & (some + (size > 256) >= threshold * size - 1e-9)
         yield pa.RecordBatch.from_arrays([pa.array(names[kept])], names=["tid"])
