@@ -133,3 +133,38 @@ def test_a_third_of_all_rows_repeats_one(spark):
     rows = [(0, body)] * 200 + [(i, body) for i in range(1, 200)] + [(i, body + f" e{i}") for i in range(200, 400)]
     got = J.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 400 and {r["group_id"] for r in got} == {0}
+
+
+def brute_links(rows, threshold=J.THRESHOLD):
+    """For each row (repeats once), the number of other rows that reach the threshold."""
+    rows = sorted({(i, t) for i, t in rows if i is not None and t and grams(t)})
+    sets = [grams(t) for _, t in rows]
+    return sorted((rows[x][0], n) for x in range(len(rows)) if (n := sum(jaccard(sets[x], sets[y]) >= threshold - 1e-12 for y in range(len(rows)) if x != y)))
+
+
+@pytest.mark.parametrize("tile", [(2_000_000, 8192), (500, 8192), (2_000_000, 4)])
+def test_links_match_brute_force(spark, monkeypatch, tile):
+    """No link within a group is lost: dense groups, a chain, copies, repeated rows."""
+    monkeypatch.setattr(J, "TILE_GRAMS", tile[0])
+    monkeypatch.setattr(J, "TILE_SETS", tile[1])
+    rng = random.Random(11)
+    body = [f"d{k}" for k in range(80)]
+    rows = corpus(3, 60)
+    rows += [(1000 + k, " ".join(body[: rng.randrange(55, 81)] + [f"x{k % 5}"])) for k in range(60)]
+    rows += [(2000 + k, " ".join(f"c{i}" for i in range(6 * k, 6 * k + 40))) for k in range(30)]
+    rows += rows[60:90] + [(5000 + k, rows[k][1]) for k in range(0, 120, 7)]
+    got = J.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["links"]) for r in got) == brute_links(rows)
+
+
+def test_tile_links_both_ways_of_counting():
+    rng = np.random.default_rng(2)
+    for dense in (True, False):
+        pool = rng.integers(0, 2**64, 40 if dense else 4000, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool[k % 3 :] if dense else pool[k // 2 * 30 : k // 2 * 30 + 30], 60)) for k in range(50)]
+        rows = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        copies, side = rng.integers(1, 4, 50), np.arange(50) // 2 % 2
+        for across in (side, np.zeros(50, np.int64)):
+            got = J.tile_links(np.concatenate(sets), rows, copies, across, 0.6, block=16)
+            near = [[x != y and (across is not side or side[x] != side[y]) and jaccard(set(sets[x]), set(sets[y])) >= 0.6 for y in range(50)] for x in range(50)]
+            assert got.tolist() == (np.array(near) @ copies).tolist()
