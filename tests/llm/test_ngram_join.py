@@ -168,3 +168,27 @@ def test_tile_links_both_ways_of_counting():
             got = J.tile_links(np.concatenate(sets), rows, copies, across, 0.6, block=16)
             near = [[x != y and (across is not side or side[x] != side[y]) and jaccard(set(sets[x]), set(sets[y])) >= 0.6 for y in range(50)] for x in range(50)]
             assert got.tolist() == (np.array(near) @ copies).tolist()
+
+
+def test_a_set_isnt_moved_once_a_pair(spark):
+    """Sets near a dense group make a pair with each of its sets, but are moved once."""
+    rng = np.random.default_rng(4)
+    core = rng.integers(0, 2**64, 90, dtype=np.uint64)
+    own = [np.unique(np.append(core, rng.integers(0, 2**64, 10, dtype=np.uint64))) for _ in range(40)]
+    own += [np.unique(np.append(core[: 55 + k], rng.integers(0, 2**64, 35 - k, dtype=np.uint64))) for k in range(30)]
+    sets = spark.createDataFrame([(k, len(s), bytearray(s.tobytes())) for k, s in enumerate(own)], "tid long, size int, grams binary")
+    comp = spark.createDataFrame([(k, k if k >= 40 else 0) for k in range(70)], "tid long, comp long")
+    pairs = spark.createDataFrame([(a, b) if a % 2 else (b, a) for a in range(40, 70) for b in range(40)], "a long, b long")
+    for most in (0, 200_000):
+        out = J.verified_at_components(pairs, sets, comp, 0.6, 4, most)
+        got = {frozenset((r["a"], r["b"])): r["jaccard"] for r in out.collect()}
+        want = {frozenset((a, b)): jaccard(set(own[a]), set(own[b])) for a in range(40, 70) for b in range(40)}
+        assert got == {k: pytest.approx(v) for k, v in want.items() if v >= 0.6} and 0 < len(got) < 1200
+
+
+def test_small_sets_have_bitmaps_that_tell_them_apart():
+    rng = np.random.default_rng(6)
+    grams = np.sort(rng.integers(0, 2**64, (400, 45), dtype=np.uint64), axis=1)
+    maps = J.Bitmaps(*J.bitmaps(grams.ravel(), np.arange(401) * 45))
+    x, y = np.triu_indices(400, 1)
+    assert (maps.differ(x, y) <= 0.25 * 90).mean() < 0.001
