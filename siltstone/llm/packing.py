@@ -12,9 +12,10 @@ without one.  If none is found a bin is opened.
 
 Scale: rows are hashed into groups of about ``group_rows`` rows, packed apart;
 only ids, lengths and keys are shuffled, never texts.  A group costs one
-partly filled tail.  In the pipeline the groups are stretches of the mix's
-shards, and the bins of a group are numbered by the first place in the mix of
-what they hold, so that sequences read in order keep the mix.  ``sequences``
+partly filled tail.  In the pipeline the groups are stretches of the files that
+the stage before wrote (of the mix: its shards), and the bins of a group are
+numbered by the first place there of what they hold, so that sequences read in
+order keep the mix.  ``sequences``
 joins the texts to their bins.
 
 Defined results
@@ -42,7 +43,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import mixing
 from .frames import by_place, column, saved, scratch, tuned
 from .textarrays import SPACE, buffers, slices
 
@@ -221,18 +221,32 @@ def query(spark, sf_dir: str) -> DataFrame:
     return pack(spread(tuned(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")))
 
 
+def _stored(docs: DataFrame) -> DataFrame:
+    """The rows with two more columns: their file and their place in it.
+
+    Rows that weren't read from files have their partition instead.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        meta = docs.metadataColumn("_metadata")
+        return docs.select("*", meta["file_path"].alias("mix_file"), meta["row_index"].alias("mix_row"))
+    return docs.select("*", F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("mix_file"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("mix_row"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str, capacity: int = 2048, group_rows: int = 16_384) -> DataFrame:
-    """Pipeline stage: the packed sequences, in the order of the mix.
+    """Pipeline stage: the packed sequences, in the order in which the rows were stored.
 
-    Where a document stands in the mix follows from its keys alone, so it is
-    found again from narrow rows.
+    Nothing of the mix is made again: its shards are the files, its order is theirs.
     """
     tuned(spark)
-    named, (text, doc_id, source, n_chars) = by_place(docs, "text", "doc_id", "source", "n_chars")
-    keys = named.select("*", column(named, doc_id).alias("mix_id"), column(named, n_chars).alias("mix_chars"), column(named, source).cast("string").alias("mix_source"))
+    named, (text, doc_id, source) = by_place(_stored(docs), "text", "doc_id", "source")
+    n = len(docs.columns)
+    keys = named.select("*", F.col(f"c{n}").alias("mix_file"), F.col(f"c{n + 1}").alias("mix_row"))
     with scratch(spark):
-        rows = saved(counted(keys, text, doc_id, source, more=("mix_id", "mix_chars", "mix_source")))
-        mixed = mixing.mix(rows, source="mix_source", keys=("mix_id", "mix_chars"))
-        most = F.lit(math.ceil(mixing.SHARD_ROWS * 2 / group_rows))
-        at = mixed.withColumn("at", F.col("position").cast("long")).withColumn("pack_group", (F.col("shard") * most + F.least(F.floor(F.col("position") / group_rows), most - 1)).cast("int"))
+        rows = saved(counted(keys, text, doc_id, source, more=("mix_file", "mix_row")))
+        # one row a file: their groups are numbered on
+        files = rows.groupBy("mix_file").agg(F.max("mix_row").alias("last")).orderBy("mix_file").collect()
+        firsts = np.cumsum([0, *(r["last"] // group_rows + 1 for r in files)]).tolist()
+        table = spark.createDataFrame([(r["mix_file"], k) for r, k in zip(files, firsts)], "mix_file string, first int")
+        at = rows.join(F.broadcast(table), "mix_file").withColumn("at", F.col("mix_row")).withColumn("pack_group", (F.col("first") + F.floor(F.col("mix_row") / group_rows)).cast("int"))
         return saved(_pack(at, capacity), keep=True)

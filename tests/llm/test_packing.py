@@ -97,3 +97,33 @@ def test_bins_of_the_stage_follow_the_mix(spark):
     for g in group_of:
         inside = [at for (group, _), at in sorted(firsts.items()) if group == g]
         assert inside == sorted(inside)
+
+
+def test_the_stage_packs_rows_as_they_were_stored(spark, tmp_path):
+    """Groups and bins follow the stored order, whatever the ids: the mix is what the stage before wrote."""
+    from siltstone.llm import frames, mixing
+
+    schema = "doc_id long, text string, source string, n_chars long"
+    rows = [(i * 7919 % 1009, " ".join(["w"] * (5 + i % 300)) + f" {i}", f"s{i % 7}", i) for i in range(300)]
+    seen = []
+    for k, given in enumerate((rows, rows[::-1])):
+        spark.createDataFrame(given, schema).coalesce(1).write.parquet(str(tmp_path / f"t{k}"))
+        out = packing.stage(spark, spark.read.parquet(str(tmp_path / f"t{k}")), "", group_rows=100).collect()
+        groups = {g: {r["doc_id"] for r in out if r["pack_group"] == g} for g in range(3)}
+        assert [groups[g] for g in range(3)] == [{r[0] for r in given[a : a + 100]} for a in (0, 100, 200)]
+        place = {r[0]: j for j, r in enumerate(given)}
+        for g in range(3):
+            firsts = {}
+            for r in out:
+                if r["pack_group"] == g:
+                    firsts[r["bin"]] = min(firsts.get(r["bin"], 999), place[r["doc_id"]])
+            assert [firsts[b] for b in sorted(firsts)] == sorted(firsts.values())
+        seen.append(groups[0])
+    assert seen[0] != seen[1]
+    mixed = frames.saved(mixing.stage(spark, spark.createDataFrame(rows, schema), ""))
+    out = packing.stage(spark, mixed, "", group_rows=100).collect()
+    shards = {}
+    for r in mixing.mix(spark.createDataFrame(rows, schema)).collect():
+        shards.setdefault(r["shard"], set()).add(r["doc_id"])
+    assert len(shards) > 1 and all(len(s) <= 100 for s in shards.values())
+    assert [{r["doc_id"] for r in out if r["pack_group"] == g} for g in range(len(shards))] == [shards[k] for k in sorted(shards)]
