@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +24,15 @@ def fnv1a(data: bytes, basis: int = _BASIS) -> int:
 def fnv1a_many(texts: list[str], basis: int = _BASIS) -> np.ndarray:
     """FNV-1a-64 of each string, column by column over all of them."""
     data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    size = np.array([len(d) for d in data], dtype=np.int64)
-    h = np.full(len(data), basis, dtype=np.uint64)
-    flat = np.frombuffer(b"".join(data), dtype=np.uint8)
-    start = np.cumsum(size) - size
-    live = np.arange(len(data))
+    ends = np.cumsum([0, *map(len, data)], dtype=np.int64)
+    return fnv1a_flat(np.frombuffer(b"".join(data), dtype=np.uint8), ends, basis)
+
+
+def fnv1a_flat(flat: np.ndarray, ends: np.ndarray, basis: int = _BASIS) -> np.ndarray:
+    """The same of texts whose bytes lie end to end, text i from ``ends[i]`` to ``ends[i + 1]``."""
+    size, start = np.diff(ends), ends[:-1]
+    h = np.full(len(size), basis, dtype=np.uint64)
+    live = np.arange(len(size))
     k = 0
     while len(live := live[size[live] > k]):
         h[live] = (h[live] ^ flat[start[live] + k]) * np.uint64(_PRIME)
@@ -35,6 +40,15 @@ def fnv1a_many(texts: list[str], basis: int = _BASIS) -> np.ndarray:
     return h
 
 
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an array of strings without nulls, and where each begins and ends."""
+    texts = texts.cast(pa.large_string())
+    _, off, data = texts.buffers()
+    ends = np.frombuffer(off, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]
+
+
 @F.pandas_udf(T.LongType())
 def fnv1a_64(text: pd.Series) -> pd.Series:
     """The hash's 64 bits as a signed number; null for null."""

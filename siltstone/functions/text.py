@@ -7,11 +7,15 @@ import sys
 import unicodedata
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import tuned
+
 #: Runs of letters or of decimal digits; a change of class ends a run.
 RUN = r"\p{L}+|\p{Nd}+"
 WHITE = r"[\t\n\x0B\f\r \u0085   -     　]"
@@ -57,19 +61,18 @@ def fold(run: str) -> str:
 
 def runs(text: str) -> list[tuple[str, int, int]]:
     """Terms with their byte spans in the text as given."""
-    out, byte, at = [], 0, 0
-    ascii_only = text.isascii()
-    for m in _kinds()[0].finditer(text):
-        start, end = m.span()
-        if not ascii_only:
-            byte += len(text[at:start].encode())
-            size = len(text[start:end].encode())
-            out.append((fold(m.group()), byte, byte + size))
-            byte += size
-            at = end
-        else:
-            out.append((m.group().lower(), start, end))
-    return out
+    found = _kinds()[0].finditer(text)
+    if text.isascii():
+        return [(m.group().lower(), *m.span()) for m in found]
+    at = _byte_places(text)
+    return [(fold(m.group()), at[m.start()], at[m.end()]) for m in found]
+
+
+def _byte_places(text: str) -> list[int]:
+    """Where each character begins in the text's UTF-8 bytes, and where they end."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    return [0, *np.cumsum(width).tolist()]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -81,10 +84,32 @@ def folded_tokens(text: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf(OFFSETS)
-def tokens_with_offsets(text: pd.Series) -> pd.Series:
-    """Terms with byte spans."""
-    return text.map(lambda t: [] if t is None else [{"text": a, "start": b, "end": c} for a, b, c in runs(t)])
+#: Terms of one text or more are made into Arrow arrays so many at a time.
+_PIECE = 100_000
+
+
+@F.arrow_udf(OFFSETS)
+def tokens_with_offsets(text: pa.Array) -> pa.Array:
+    """Terms with byte spans; a null text has none."""
+    names, starts, ends, sizes = [], [], [], []
+    held: list[tuple[str, int, int]] = []
+
+    def keep() -> None:
+        term, start, end = zip(*held) if held else ((), (), ())
+        names.append(pa.array(term, pa.string()))
+        starts.append(np.array(start, dtype=np.int32))
+        ends.append(np.array(end, dtype=np.int32))
+        held.clear()
+
+    for t in text:
+        found = runs(t.as_py()) if t.is_valid else []
+        sizes.append(len(found))
+        held += found
+        if len(held) >= _PIECE:
+            keep()
+    keep()
+    spans = pa.StructArray.from_arrays([pa.concat_arrays(names), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], names=["text", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), spans)
 
 
 #: Letters up to U+0131 but for three aren't folded: most texts need no further test.
@@ -106,6 +131,7 @@ def tokenized(docs: DataFrame, text: str = "text", into: str = "tokens") -> Data
     Texts without letters that are folded in Python, nearly all, are tokenized
     in the JVM: Python gets a null in their place.
     """
+    tuned(docs.sparkSession)
     body = F.col(text)
     return docs.withColumn(into, folded_tokens(F.when(folds(body), body))).withColumn(into, F.coalesce(into, tokens(body), F.array().cast("array<string>")))
 

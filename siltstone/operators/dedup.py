@@ -5,12 +5,12 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import fnv1a_many, hamming
+from ..functions.hashing import flat_bytes, fnv1a_flat, hamming
 from ..functions.text import tokenized
 
 
@@ -35,23 +35,28 @@ def admitted(found: DataFrame, known: DataFrame, most: int = 40, url: str = "url
     return unseen(first_seen(found, url, order), known, url).orderBy(order, url).limit(most)
 
 
-@F.pandas_udf(T.LongType())
-def simhash(tokens: pd.Series) -> pd.Series:
+#: SimHash takes some so many terms at once; the terms are never Python strings.
+_PIECE = 100_000
+
+
+@F.arrow_udf(T.LongType())
+def simhash(tokens: pa.Array) -> pa.Array:
     """64-bit SimHash of a list of terms, each as often as it occurs; 0 without terms."""
     out = np.zeros(len(tokens), np.int64)
-    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-    ends = np.cumsum(sizes)
+    sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, flat = np.cumsum(sizes), tokens.flatten()
     a = 0
-    while a < len(tokens):  # some 100,000 terms at once
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 100_000, side="right")))
-        code, terms = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in tokens.iloc[a:b]]))
-        if len(code):
-            signs = np.unpackbits(fnv1a_many(terms.tolist()).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+    while a < len(tokens):
+        first = ends[a] - sizes[a]
+        b = max(a + 1, int(np.searchsorted(ends, first + _PIECE, side="right")))
+        held = flat.slice(first, ends[b - 1] - first).dictionary_encode()
+        if len(held):
+            signs = np.unpackbits(fnv1a_flat(*flat_bytes(held.dictionary)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
             some = np.flatnonzero(sizes[a:b])
-            votes = np.add.reduceat(signs[code], (ends[a:b] - sizes[a:b])[some] - (ends[a - 1] if a else 0), axis=0)
+            votes = np.add.reduceat(signs[held.indices.to_numpy()], (ends[a:b] - sizes[a:b])[some] - first, axis=0, dtype=np.int32)
             out[a + some] = np.packbits((votes > 0).astype(np.uint8), axis=1, bitorder="little").view(np.int64).ravel()
         a = b
-    return pd.Series(out)
+    return pa.array(out)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -168,3 +168,37 @@ def test_display_cuts_at_bytes_between_characters(spark):
     for size in (1, 2, 3, 4, 7, 10):
         want = [None if t is None else t if len(t.encode()) <= size else t.encode()[:size].decode(errors="ignore") + "..." for t in texts]
         assert [r[0] for r in rows.select(text.shortened(F.col("t"), size)).collect()] == want, size
+
+
+def test_python_gets_texts_in_bounded_batches(spark):
+    """Whatever the number of rows: 40 texts of 1 MB never stand in one batch."""
+    import pandas as pd
+
+    from siltstone.session import BATCH_BYTES, spread
+
+    @F.pandas_udf("long")
+    def together(t: pd.Series) -> pd.Series:
+        return pd.Series([int(t.str.len().sum())] * len(t))
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        held = spark.range(40).coalesce(1).selectExpr("repeat('abcdefghi ', 100000) t")
+        for bounded in (spread, text.tokenized):
+            spark.conf.unset(key)
+            bounded(spark.createDataFrame([("a",)], "text string"))
+            assert max(r[0] for r in held.select(together("t")).collect()) <= BATCH_BYTES + 1_000_000
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_offsets_in_pieces(spark, monkeypatch):
+    """Terms of several texts and pieces, with folded letters, nulls and empty texts."""
+    texts = ["café latte", None, "", "\U0001d413\U0001d42b\U0001d42e 12a x\u00b2", "!?", "a b c d e"] * 3
+    import pyarrow as pa
+
+    for piece in (1, 2, 100_000):
+        monkeypatch.setattr(text, "_PIECE", piece)
+        got = text.tokens_with_offsets.func(pa.array(texts)).to_pylist()
+        assert got == [[{"text": t, "start": a, "end": b} for t, a, b in text.runs(x or "")] for x in texts]

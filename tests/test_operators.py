@@ -250,3 +250,19 @@ def test_places_of_ties_in_stretches(spark, monkeypatch):
     for q in (0, 1):
         order = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
         assert [(r["doc_id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(r[1], k + 1) for k, r in enumerate(order)]
+
+
+def test_simhash_of_long_texts_in_pieces(spark):
+    """Terms are taken a piece at a time, as Arrow arrays, from batches of bounded size."""
+    from siltstone.functions.hashing import fnv1a
+
+    texts = [" ".join(f"w{i * j % 977}" for j in range(3_000 * (i % 4))) for i in range(120)]
+    held = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for i, fp in dedup.fingerprints(held).collect():
+        words = {}
+        for w in texts[i].split():
+            for part in (w[0], w[1:]):
+                words[part] = words.get(part, 0) + 1
+        hashes = {w: fnv1a(w.encode()) for w in words}
+        votes = [sum(n if hashes[w] >> b & 1 else -n for w, n in words.items()) for b in range(64)]
+        assert fp & (2**64 - 1) == sum(1 << b for b in range(64) if votes[b] > 0)
