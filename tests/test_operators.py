@@ -266,3 +266,78 @@ def test_simhash_of_long_texts_in_pieces(spark):
         hashes = {w: fnv1a(w.encode()) for w in words}
         votes = [sum(n if hashes[w] >> b & 1 else -n for w, n in words.items()) for b in range(64)]
         assert fp & (2**64 - 1) == sum(1 << b for b in range(64) if votes[b] > 0)
+
+
+def test_postings_of_rows_are_not_shuffled(spark, docs):
+    """All terms of a document stand in one row; only rows of one id are merged."""
+    for made in (index.postings(docs), index.term_frequency(docs), index.decoded(index.coded(docs))):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    twice = spark.createDataFrame([(0, "a b a"), (0, "b c"), (None, "a"), (None, "a"), (1, None), (2, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["term"]): (r["tf"], r["positions"]) for r in index.postings(twice).collect()}
+    assert got == {(0, "a"): (2, [0, 2]), (0, "b"): (2, [0, 1]), (0, "c"): (1, [1]), (None, "a"): (2, [0, 0])}
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in index.term_frequency(twice).collect()} == {k: v[0] for k, v in got.items()}
+
+
+def test_stored_postings_come_from_blocks(spark, tmp_path, monkeypatch):
+    """Ids that repeat, that are negative or strings; few and many of them; files sorted by term."""
+    texts = [" ".join(f"w{i * j % 19}" for j in range(i % 40)) for i in range(200)]
+    rows = [(i - 100 if i % 50 else 7, t) for i, t in enumerate(texts)]
+    for kind in ("long", "string"):
+        held = spark.createDataFrame([(i if kind == "long" else f"d{i}", t) for i, t in rows], f"doc_id {kind}, text string")
+        want = {(r["term"], r["doc_id"]): (r["tf"], r["positions"]) for r in index.postings(held).collect()}
+        for cut in (1, 3):
+            monkeypatch.setattr(index, "FEW_IDS", cut)
+            path = str(tmp_path / f"{kind}{cut}")
+            index.write_index(held, path, F.length(F.col("doc_id").cast("string")) % 3)
+            stored = index.Index(spark, path)
+            got = [((r["term"], r["doc_id"]), (r["tf"], r["positions"])) for r in stored.postings.collect()]
+            assert dict(got) == want and len(got) == len(want)
+            assert stored.frequency("11").head()["df"] == sum(t == "11" for t, _ in want)
+            files = {}
+            for r in stored.postings.select("term", "segment_id", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).collect():
+                files.setdefault(r["f"], []).append((r["i"], r["term"]))
+            assert all([t for _, t in sorted(v)] == sorted(t for _, t in v) for v in files.values())
+            target = f"{path}-merged"
+            gone = {k for _, k in want if hash(str(k)) % 2}
+            index.merge_index(spark, path, spark.createDataFrame([(k,) for k in gone], f"doc_id {kind}"), target)
+            merged = {(r["term"], r["doc_id"]): (r["tf"], r["positions"]) for r in index.Index(spark, target).postings.collect()}
+            assert merged == {k: v for k, v in want.items() if k[1] not in gone}
+
+
+def test_codes_of_postings():
+    import numpy as np
+
+    from siltstone.functions import postings
+
+    values = np.array([0, 1, 127, 128, 300, 16383, 16384, 2**31, 2**62, 2**63 - 1], dtype=np.int64)
+    data, size = postings.varints(values)
+    assert postings.unvarints(data).tolist() == values.tolist() and size.sum() == len(data)
+    assert data[size[:4].sum() : size[:5].sum()].tobytes().hex() == "ac02"
+    counts = np.array([2, 1, 3])
+    positions = np.array([0, 4, 9, 0, 1, 7])
+    assert postings.as_gaps(positions, counts).tolist() == [0, 4, 9, 0, 1, 6]
+    assert postings.as_positions(postings.as_gaps(positions, counts), counts).tolist() == positions.tolist()
+    with pytest.raises(ValueError):
+        postings.as_positions(np.array([5, 0]), np.array([2]))
+    assert len(postings.varints(np.zeros(0, np.int64))[0]) == 0 == len(postings.unvarints(np.zeros(0, np.uint8)))
+
+
+def test_blocks_unpack_in_pieces(monkeypatch):
+    """Batches longer than a piece, slices of batches, null ids and segments."""
+    import pyarrow as pa
+
+    from siltstone.functions import postings
+
+    tokens = pa.array([[f"t{i * j % 7}" for j in range(i % 9)] for i in range(60)] + [None]).slice(3)
+    row, term, tf, positions = postings.grouped(tokens)
+    ids = pa.array([None if i % 11 == 0 else 500 - i for i in range(len(tokens))]).take(pa.array(row))
+    seg = pa.array([None if i % 13 == 0 else i % 3 for i in range(len(tokens))]).take(pa.array(row))
+    kept = list(zip(seg.to_pylist(), term.to_pylist(), ids.to_pylist(), tf.tolist(), postings.lists(pa.array(positions), tf).to_pylist()))
+    block = postings.packed(seg, term, ids, tf, positions)
+    assert len(block) == len({k[:2] for k in kept})
+    for piece in (1, 40, 1_000_000):
+        monkeypatch.setattr(postings, "PIECE", piece)
+        for a in (0, 5):
+            got = [tuple(r.values()) for b in postings.unpacked(block.slice(a)) for r in b.to_pylist()]
+            first = {(r["segment_id"], r["term"]) for r in block.slice(a).to_pylist()}
+            assert sorted(got, key=repr) == sorted((k for k in kept if k[:2] in first), key=repr)
