@@ -197,12 +197,12 @@ def dictionary_terms(spark, d):
 
 @register("posting_delta_gaps", f"WITH {OCC} SELECT doc_id, term, pos::INT AS pos, (pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id, term ORDER BY pos))::INT AS gap FROM occ")
 def posting_delta_gaps(spark, d):
-    return index.gaps(index.occurrences(docs_of(spark, d))).select("doc_id", "term", "pos", "gap")
+    return index.posting_gaps(index.postings(docs_of(spark, d)))
 
 
 @register("varint_size", f"WITH {OCC}, g AS (SELECT term, pos - lag(pos, 1, 0) OVER (PARTITION BY doc_id, term ORDER BY pos) AS gap FROM occ) SELECT term, sum(greatest(1, ceil(length(ltrim(bin(gap), '0')) / 7.0)))::BIGINT AS bytes FROM g GROUP BY term")
 def varint_size(spark, d):
-    return index.gaps(index.occurrences(docs_of(spark, d))).groupBy("term").agg(F.sum(index.varint_bytes(F.col("gap").cast("long"))).alias("bytes"))
+    return index.posting_gaps(index.postings(docs_of(spark, d))).groupBy("term").agg(F.sum(index.varint_bytes(F.col("gap").cast("long"))).alias("bytes"))
 
 
 @register("contiguity_check", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, min(doc_id) AS low, max(doc_id) AS high FROM documents")
@@ -373,8 +373,8 @@ def merged_stored(spark, d):
 @register("gap_round_trip", f"WITH {OCC} SELECT doc_id, term, pos::INT AS pos FROM occ")
 def gap_round_trip(spark, d):
     """Positions as gaps, as varint bytes, and back; gaps that don't rise would fail."""
-    gapped = index.gaps(index.occurrences(docs_of(spark, d))).select("doc_id", "term", F.col("pos").alias("nth"), index.unvarint(index.varint(F.col("gap").cast("long"))).alias("gap"))
-    return index.undone(gapped).select("doc_id", "term", "pos")
+    held = index.decoded(index.coded(docs_of(spark, d)))
+    return held.select("doc_id", "term", F.explode("positions").alias("pos"))
 
 
 # ---- vectors and fusion ----------------------------------------------------
