@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.postings import pieces, sizes_of, within
 from ..functions.text import fold, runs, tokenized
 
 K1, B = 1.5, 0.75
@@ -80,6 +85,94 @@ def bm25(docs: DataFrame, terms: DataFrame, k1: float = K1, b: float = B) -> Dat
     return scored(tf, weights(df, stats, terms), k1, b)
 
 
+#: So many weights of terms are sent to the documents for ``best``.
+WEIGHTS = 1_000_000
+#: A block of documents has so many scores, of all queries, at most.
+_SCORES = 2_000_000
+
+
+def best(docs: DataFrame, terms: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """The first k documents of each query by BM25: ``query_id, doc_id, score, rank``.
+
+    For many queries, of which nearly every document has some term.  Documents
+    are scored in their own rows, where the weights of all terms are sent, and of
+    each piece of documents only a query's first k go on; so neither terms nor
+    scores are shuffled.  Where ids repeat, or weights are too many to be sent,
+    all scores are made and ranked.
+    """
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1)
+    if dict(docs.dtypes)["doc_id"] not in ("bigint", "int") or terms.limit(WEIGHTS + 1).count() > WEIGHTS or not repeated.isEmpty():
+        return ranked(bm25(docs, terms, k1, b), k)
+    spark = docs.sparkSession
+    wanted = spark.sparkContext.broadcast({r["term"] for r in terms.select("term").distinct().collect()})
+    held = tokenized(docs.select("doc_id", "text")).select("doc_id", "tokens")
+
+    def seen(batches):
+        of = pa.array(sorted(wanted.value), pa.string())
+        df, n, length = np.zeros(len(of), np.int64), 0, 0
+        for batch in batches:
+            for row, code, _, sizes in _found(batch.column(1), of):
+                df += np.bincount(code, minlength=len(of))
+                n, length = n + len(sizes), length + int(sizes.sum())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([of.take(pa.array(some)), pa.array(df[some])], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None, None], pa.string()), pa.array([n, -length - 1])], names=["term", "n"])
+
+    # rows without a term: the documents, and (below 0, less 1) their lengths
+    counts = held.mapInArrow(seen, "term string, n bigint").groupBy("term", F.expr("n < 0").alias("dl")).agg(F.sum(F.when(F.col("n") < 0, F.col("n") + 1).otherwise(F.col("n"))).alias("n")).collect()
+    n = next((r["n"] for r in counts if r["term"] is None and not r["dl"]), 0)
+    avgdl = -next((r["n"] for r in counts if r["term"] is None and r["dl"]), 0) / max(n, 1)
+    df = spark.createDataFrame([(r["term"], r["n"]) for r in counts if r["term"] is not None], "term string, df long")
+    weighed = terms.join(F.broadcast(df), "term").select("query_id", "term", (idf(F.lit(float(n)), F.col("df")) * F.col("qtf")).alias("w")).orderBy("term", "query_id").toPandas()
+    names, first = np.unique(weighed["term"].to_numpy(dtype=object).astype(str), return_index=True) if len(weighed) else (np.zeros(0, str), np.zeros(0, np.int64))
+    # code points, as Python orders strings, are also the order of UTF-8 bytes
+    queries, number = np.unique(weighed["query_id"].to_numpy(), return_inverse=True)
+    table = spark.sparkContext.broadcast((names.tolist(), np.append(first, len(weighed)), queries, number, weighed["w"].to_numpy(dtype=float)))
+    schema = T.StructType([terms.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+
+    def score(batches):
+        names, begin, queries, number, w = table.value
+        of, many = pa.array(names, pa.string()), np.diff(begin)
+        for batch in batches:
+            ids = batch.column(0)
+            at = 0
+            for row, code, tf, sizes in _found(batch.column(1), of, max(1, _SCORES // max(len(queries), 1))):
+                each = saturation(tf.astype(float), sizes[row], avgdl, k1, b)
+                times = many[code]
+                entry = np.repeat(begin[code], times) + within(times)
+                place = np.repeat(row, times) * len(queries) + number[entry]
+                total = np.bincount(place, np.repeat(each, times) * w[entry], minlength=len(sizes) * len(queries)).reshape(len(sizes), len(queries))
+                hit = np.flatnonzero(np.bincount(place, minlength=total.size))
+                part = ids.slice(at, len(sizes))
+                at += len(sizes)
+                doc, query = hit // max(len(queries), 1), hit % max(len(queries), 1)
+                value = total.ravel()[hit]
+                # ranks go by rounded scores: those that may round to the k-th best one's all go on
+                order = np.lexsort((part.to_numpy(zero_copy_only=False)[doc], -value, query))
+                nth = within(np.bincount(query, minlength=len(queries)))
+                low = np.full(len(queries), -np.inf)
+                last = order[nth == k - 1]
+                low[query[last]] = value[last]
+                kept = np.flatnonzero(value >= low[query] - 2e-9)
+                yield pa.RecordBatch.from_arrays([pa.array(queries[query[kept]]).cast(kind), part.take(pa.array(doc[kept])), pa.array(value[kept])], names=schema.names)
+
+    kind = pa.int64() if schema["query_id"].dataType == T.LongType() else pa.int32() if schema["query_id"].dataType == T.IntegerType() else pa.string()
+    return ranked(held.mapInArrow(score, schema), k)
+
+
+def _found(tokens: pa.Array, of: pa.Array, most_rows: int = 1 << 20):
+    """For pieces of rows: row, number in ``of``, and tf of each wanted term, and the rows' lengths."""
+    for a, b in pieces(sizes_of(tokens)):
+        for c in range(a, b, most_rows):
+            part = tokens.slice(c, min(most_rows, b - c))
+            sizes = sizes_of(part)
+            code = pc.index_in(part.flatten(), value_set=of)
+            here = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+            key = np.repeat(np.arange(len(sizes)), sizes)[here] * len(of) + code.fill_null(0).to_numpy(zero_copy_only=False)[here]
+            key, tf = np.unique(key, return_counts=True)
+            yield key // max(len(of), 1), key % max(len(of), 1), tf, sizes
+
+
 def bm25_index(index, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """The same over a stored index, whose term filter reaches the scan."""
     wanted = few(terms)

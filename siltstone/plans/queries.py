@@ -292,7 +292,7 @@ def bm25_repeated_terms(spark, d):
 
 @register("bm25_multi_query", bm25_sql(BENCH, "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10"))
 def bm25_multi_query(spark, d):
-    out = rank.ranked(rank.bm25(docs_of(spark, d), bench_terms(spark, d)), 10)
+    out = rank.best(docs_of(spark, d), bench_terms(spark, d), 10)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -648,7 +648,7 @@ EVAL = bm25_sql(BENCH, "").rstrip() + """, top AS (SELECT * FROM ranked WHERE ra
 
 
 def evaluated(spark, d) -> DataFrame:
-    ranking = rank.ranked(rank.bm25(docs_of(spark, d), bench_terms(spark, d)), 10)
+    ranking = rank.best(docs_of(spark, d), bench_terms(spark, d), 10)
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     qrels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("relevance"))
     return evaluate.by_query(queries, ranking, qrels, 10)

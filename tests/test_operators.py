@@ -341,3 +341,17 @@ def test_blocks_unpack_in_pieces(monkeypatch):
             got = [tuple(r.values()) for b in postings.unpacked(block.slice(a)) for r in b.to_pylist()]
             first = {(r["segment_id"], r["term"]) for r in block.slice(a).to_pylist()}
             assert sorted(got, key=repr) == sorted((k for k in kept if k[:2] in first), key=repr)
+
+
+def test_best_of_many_queries_moves_no_scores(spark):
+    """The first of each query, with ties at the last place, as ranking all scores gives them; ids that repeat too."""
+    rows = [(i, " ".join(f"w{chr(97 + i * j % 11)}" for j in range(i % 6))) for i in range(120)] + [(500, None)]
+    held = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for queries in ({q: f"wa w{chr(97 + q)} w{chr(97 + q)} zz" for q in range(9)}, {"x": "wa wb", "y": ""}, {0: "zz"}):
+        terms = rank.query_terms(spark, queries)
+        for docs in (held, held.union(spark.createDataFrame([(3, "wa wb")], held.schema)), held.limit(0)):
+            rounded = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.collect())
+            assert rounded(rank.best(docs, terms, 4)) == rounded(rank.ranked(rank.bm25(docs, terms), 4))
+    # df and scores are made in the rows: what is shuffled has at most k rows a query and batch
+    plan = rank.best(held, rank.query_terms(spark, {q: "wa" for q in range(9)}), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Explode" not in plan and plan.count("Exchange hashpartitioning") == 1
