@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import ngram_join as J
 
@@ -192,3 +193,21 @@ def test_small_sets_have_bitmaps_that_tell_them_apart():
     maps = J.Bitmaps(*J.bitmaps(grams.ravel(), np.arange(401) * 45))
     x, y = np.triu_indices(400, 1)
     assert (maps.differ(x, y) <= 0.25 * 90).mean() < 0.001
+
+
+def test_sets_that_meet_a_large_group_come_in_parts(spark, monkeypatch):
+    """One component is near every other set: a task never holds all of these at once."""
+    own = {i: sorted({1000 + j for j in range(40)} - {1000 + i % 40} | ({5000 + i} if i >= 40 else set())) for i in range(640)}
+    sets = spark.createDataFrame([(i, len(g), np.array(g, dtype=np.uint64).tobytes()) for i, g in own.items()], "tid long, size int, grams binary")
+    comp = spark.createDataFrame([(i, 0 if i < 40 else i) for i in own], "tid long, comp long")
+    pairs = spark.createDataFrame([(a, b) for a in range(40, 640) for b in range(40)], "a long, b long")
+    monkeypatch.setattr(J, "BUCKET_BYTES", 20_000)
+    met = pairs.select(F.lit(0).alias("bucket"), "a", "b", F.col("a").alias("other"))
+    parts = J.in_parts(met, sets.select("tid", "size")).collect()
+    assert {(r["a"], r["b"]) for r in parts} == {(a, b) for a in range(40, 640) for b in range(40)} and len(parts) == 24_000
+    held = {}
+    for r in parts:
+        held.setdefault(r["part"], set()).add(r["a"])
+    assert len(held) == 10 and max(sum(8 * len(own[i]) for i in p) for p in held.values()) < 40_000
+    got = {(r["a"], r["b"]) for r in J.verified_at_components(pairs, sets, comp, 0.6, 4, 0).collect()}
+    assert got == {(a, b) for a in range(40, 640) for b in range(40) if jaccard(set(own[a]), set(own[b])) >= 0.6} and got
